@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op1_mixing
 from .packing import op9_packing
+from .secrets import SECRETS_SQL, op7_secrets
 from .warc import WARC_SQL, op3_warc
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op3_warc": op3_warc,
+        "op7_secrets": op7_secrets,
         "op9_packing": op9_packing,
     }
 
@@ -22,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": WARC_SQL,
+        "op7_secrets": SECRETS_SQL,
     }
