@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op2_language
 from .mixing import op1_mixing
 from .packing import op9_packing
 from .secrets import SECRETS_SQL, op7_secrets
+from .toxicity import op4_toxicity
 from .warc import WARC_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_language": op2_language,
         "op3_warc": op3_warc,
+        "op4_toxicity": op4_toxicity,
         "op7_secrets": op7_secrets,
         "op9_packing": op9_packing,
     }
