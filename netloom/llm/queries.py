@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op5_fingerprints
 from .language import op2_language
 from .mixing import op1_mixing
 from .packing import op9_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": op2_language,
         "op3_warc": op3_warc,
         "op4_toxicity": op4_toxicity,
+        "op5_fingerprints": op5_fingerprints,
         "op7_secrets": op7_secrets,
         "op9_packing": op9_packing,
     }
