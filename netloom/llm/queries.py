@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op5_fingerprints
 from .language import op2_language
 from .mixing import op1_mixing
+from .neighbours import op8_neighbours
 from .packing import op9_packing
 from .secrets import SECRETS_SQL, op7_secrets
 from .toxicity import op4_toxicity
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_fingerprints": op5_fingerprints,
         "op7_secrets": op7_secrets,
+        "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
     }
 
