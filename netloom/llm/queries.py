@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op5_fingerprints
+from .jaccard import JACCARD_SQL, op6_jaccard
 from .language import op2_language
 from .mixing import op1_mixing
 from .neighbours import op8_neighbours
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_toxicity": op4_toxicity,
         "op5_fingerprints": op5_fingerprints,
+        "op6_jaccard": op6_jaccard,
         "op7_secrets": op7_secrets,
         "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
@@ -32,5 +34,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": WARC_SQL,
+        "op6_jaccard": JACCARD_SQL,
         "op7_secrets": SECRETS_SQL,
     }
