@@ -153,3 +153,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
     return predict(docs, learn(docs))
+
+
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose text has a known language, by a score of at least least; lang is set to it. In one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(rows):
+        score = Scorer(shared.value)
+        for batch in common.batches(rows):
+            said = [score(t) for t in batch.column(text).to_pylist()]
+            columns = list(batch.columns)
+            columns[lang] = pa.array([s[0] for s in said], batch.schema.field(lang).type)
+            keep = pa.array([s[0] != "und" and s[1] >= least for s in said])
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -134,7 +134,7 @@ class Mix:
             known.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
             .join(per_part, ["src", "part"])
             .withColumn("start", F.when(F.col("size") > 0, F.col("part_start") + F.col("within")))
-            .drop("within", "part_start", "part", "tie")
+            .drop("within", "part_start", "part")
         )
         idx = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
         self.pieces = (
@@ -175,3 +175,27 @@ class Mix:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix(common.table(spark, sf_dir, "documents"), ["doc_id"])
     return mix.taken().select(F.col("keep_doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: for each epoch a row for every document of which the mix takes words, with these words as its text.
+
+    Columns stay those of docs. What is taken whole keeps its text as it is; else the taken words are joined by spaces.
+    n_chars, if there, is set to the new text's length. Of rows with equal id and text one stands for all: which of them
+    the words are from makes no difference, as their texts are equal."""
+    mix = Mix(docs, ["doc_id"], **options)
+    placed = mix.slots.select("src", "idx", "epoch").join(mix.pieces.hint("merge"), ["src", "idx"])
+    runs = placed.groupBy("src", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("_runs"))
+    known = mix.documents.where("size > 0").select("src", "start", "tie", F.col("size").alias("_size"))
+    runs = known.join(runs.hint("merge"), ["src", "start"]).select("tie", "_size", "_runs")
+    names = docs.columns
+    one = docs.withColumn("tie", F.xxhash64("doc_id", "text")).dropDuplicates(["tie"])
+    out = one.join(runs.hint("merge"), "tie")
+    whole = (F.size("_runs") > 0) & (F.expr("aggregate(_runs, 0L, (a, r) -> a + r.end_word - r.first_word)") == F.col("_size"))
+    words = F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))
+    out = out.withColumn("_words", F.when(~whole, words))
+    taken = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, cast(r.first_word + 1 AS int), cast(r.end_word - r.first_word AS int)))), ' ')")
+    out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(taken))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)

@@ -73,3 +73,23 @@ def test_slots_join_blocks_by_index(spark):
     assert {r.shard for r in placed} == {0, 1, 2, 3}
     assert all(0 < r.end_word - r.first_word <= 16 for r in placed)
     assert len({(r.src, r.idx, r.epoch) for r in placed}) == mix.slots.count()
+
+
+def test_mixed_documents(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(3 + 40 * (i % 9))), "abc"[i % 3], 7) for i in range(120)] + [(500, None, "a", 0), (501, "", None, 0), (7, "same  text", "b", 9), (7, "same  text", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    mix = mixing.Mix(docs, ["doc_id"], block=16, shards=4)
+    took = Counter()
+    for r in mix.taken().collect():
+        took[r.keep_doc_id] += r.taken
+    out = mixing.mixed_documents(docs, block=16, shards=4)
+    assert out.columns == docs.columns
+    got = Counter()
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(t)
+    for r in out.collect():
+        got[r.doc_id] += len(r.text.split())
+        assert r.n_chars == len(r.text)
+        assert any(set(r.text.split()) <= set((t or "").split()) for t in texts[r.doc_id])
+    assert got == +took
