@@ -159,15 +159,17 @@ class Mix:
 
     def placed(self) -> DataFrame:
         """Slots and the pieces of documents in their blocks, joined by index."""
-        return self.slots.join(self.pieces, ["src", "idx"])
+        return self.slots.join(self.pieces.hint("merge"), ["src", "idx"])
 
     def taken(self) -> DataFrame:
         """documents with the words that the mix takes of each, repeats counted."""
-        uses = self.slots.groupBy("src", "idx").agg(F.count("*").alias("uses"))
+        # From the few rows that slots are dealt out from, Spark would take this side for small; it grows with the data.
+        uses = self.slots.groupBy("src", "idx").agg(F.count("*").alias("uses")).hint("merge")
         took = (
             self.pieces.join(uses, ["src", "idx"])
             .groupBy("src", "start")
             .agg(F.sum(F.col("uses") * (F.col("end_word") - F.col("first_word"))).alias("taken"))
+            .hint("merge")
         )
         return self.documents.join(took, ["src", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
