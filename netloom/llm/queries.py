@@ -13,6 +13,7 @@ from .mixing import op1_mixing
 from .neighbours import op8_neighbours
 from .packing import op9_packing
 from .secrets import SECRETS_SQL, op7_secrets
+from .substrings import op10_substrings
 from .toxicity import op4_toxicity
 from .warc import WARC_SQL, op3_warc
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": op7_secrets,
         "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
+        "op10_substrings": op10_substrings,
     }
 
 
