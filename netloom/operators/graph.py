@@ -202,3 +202,69 @@ def dirty_edges(before: DataFrame, after: DataFrame, gradient_change: float = 0.
     j = after.join(b, ["problem_id", "edge_id"], "left")
     grown = F.greatest("length", "l0") > length_factor * F.least("length", "l0")
     return j.where(F.col("g0").isNull() | (F.abs(F.col("gradient") - F.col("g0")) > gradient_change) | grown).select("problem_id", "edge_id")
+
+
+def clamp_length(length, n):
+    """A length's size held within n^-4 and n^4."""
+    n = n.cast("double")
+    return F.least(F.greatest(F.abs(length), F.pow(n, F.lit(-4.0))), F.pow(n, F.lit(4.0)))
+
+
+def low_degree(edges: DataFrame, gamma: float) -> DataFrame:
+    """Nodes whose degree is below gamma * ln(n), rounded up."""
+    d = degrees(edges)
+    n = d.groupBy("problem_id").agg(F.ceil(gamma * F.ln(F.greatest(F.count("*"), F.lit(2)).cast("double"))).alias("least"))
+    return d.join(n, "problem_id").where("degree < least").select("problem_id", "node_id", "degree")
+
+
+def halved(nodes: DataFrame) -> DataFrame:
+    """The map that contracts nodes 2v and 2v + 1 into v."""
+    return nodes.select("problem_id", "node_id", F.floor(F.col("node_id") / 2).cast("bigint").alias("image"))
+
+
+def parts(nodes: DataFrame, s: int) -> DataFrame:
+    """Nodes dealt out by id modulo s."""
+    return nodes.select("problem_id", "node_id", F.pmod("node_id", F.lit(s)).cast("int").alias("part"))
+
+
+def undirected_pairs(edges: DataFrame) -> DataFrame:
+    """One edge, of least id, for each unordered pair of different nodes."""
+    pair = [F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")]
+    return edges.where("src <> dst").groupBy("problem_id", *pair).agg(F.min("edge_id").alias("edge_id"))
+
+
+def mean_stretch(stretches: DataFrame, weight: str | None = None) -> DataFrame:
+    w = F.col(weight) if weight else F.lit(1.0)
+    s = stretches.where("stretch IS NOT NULL")
+    return s.groupBy("problem_id").agg((F.sum(w * F.col("stretch")) / F.sum(w)).alias("mean_stretch"))
+
+
+def reweighted(stretches: DataFrame, eta: float, weight: str = "weight") -> DataFrame:
+    """Multiplicative weights: w * exp(-eta * stretch)."""
+    return stretches.withColumn(weight, F.col(weight) * F.exp(-eta * F.coalesce("stretch", F.lit(0.0))))
+
+
+def tree_weights(tree: DataFrame, edges: DataFrame, gamma: float, weight: str = "weight") -> DataFrame:
+    """Weights of the tree's edges grow by gamma over the degrees of their ends."""
+    d = degrees(edges)
+    to = lambda c, n: d.select("problem_id", F.col("node_id").alias(c), F.col("degree").alias(n))
+    e = edges.join(to("src", "du"), ["problem_id", "src"]).join(to("dst", "dv"), ["problem_id", "dst"]).join(tree.select("problem_id", "edge_id", F.lit(True).alias("chosen")), ["problem_id", "edge_id"], "left")
+    return e.withColumn(weight, F.col(weight) + F.when(F.col("chosen"), gamma / F.col("du") + gamma / F.col("dv")).otherwise(0.0)).drop("du", "dv", "chosen")
+
+
+def paths_valid(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """problem_id, path_id, valid, length, gradient of paths (problem_id, path_id, k, edge_id, direction): whether each step exists
+    and begins where the last ended."""
+    e = steps.join(edges.select("problem_id", "edge_id", "src", "dst", "length", "gradient"), ["problem_id", "edge_id"], "left")
+    ahead = F.col("direction") > 0
+    e = e.withColumn("from", F.when(ahead, F.col("src")).otherwise(F.col("dst"))).withColumn("to", F.when(ahead, F.col("dst")).otherwise(F.col("src")))
+    e = e.withColumn("last", F.lag("to").over(Window.partitionBy("problem_id", "path_id").orderBy("k")))
+    ok = F.col("from").isNotNull() & (F.col("last").isNull() | (F.col("last") == F.col("from")))
+    return e.groupBy("problem_id", "path_id").agg(F.every(ok).alias("valid"), F.sum("length").alias("length"), F.sum(F.col("direction") * F.col("gradient")).alias("gradient"))
+
+
+def widths_stable(before: DataFrame, after: DataFrame, dirty: DataFrame, factor: float = 2.0) -> DataFrame:
+    """problem_id, stable: no edge's width grew beyond the factor unless it is dirty."""
+    j = after.join(before.select("problem_id", "edge_id", F.col("width").alias("was")), ["problem_id", "edge_id"]).join(dirty, ["problem_id", "edge_id"], "left_anti")
+    ok = j.groupBy("problem_id").agg(F.every(F.col("width") <= factor * F.col("was")).alias("ok"))
+    return after.select("problem_id").distinct().join(ok, "problem_id", "left").select("problem_id", F.coalesce("ok", F.lit(True)).alias("stable"))

@@ -76,3 +76,49 @@ def size_facts(edges: DataFrame) -> DataFrame:
     )
     cube = F.col("m").cast("decimal(19,0)") * F.col("m") * F.col("m")
     return facts.withColumn("cost_upper_bound", F.col("abs_cost") * F.col("max_bound")).withColumn("needs_scaling", F.greatest("max_bound", "max_cost") > cube).drop("abs_cost")
+
+
+def polynomial_costs(edges: DataFrame) -> DataFrame:
+    """edges with scaled_cost, the cost over the largest power of two that the problem's largest cost holds, and its exponent."""
+    top = edges.groupBy("problem_id").agg(F.floor(F.log2(F.greatest(F.max(F.abs("cost")), F.lit(1)).cast("double"))).cast("int").alias("exponent"))
+    return edges.join(top, "problem_id").withColumn("scaled_cost", F.round(F.col("cost") / F.pow(F.lit(2.0), "exponent")).cast("bigint"))
+
+
+def polynomial_capacities(edges: DataFrame) -> DataFrame:
+    """The same of upper, as scaled_upper of at least 1."""
+    top = edges.groupBy("problem_id").agg(F.floor(F.log2(F.greatest(F.max("upper"), F.lit(1)).cast("double"))).cast("int").alias("exponent"))
+    return edges.join(top, "problem_id").withColumn("scaled_upper", F.greatest(F.round(F.col("upper") / F.pow(F.lit(2.0), "exponent")), F.lit(1)).cast("bigint"))
+
+
+def unscaled(flow: Column, *exponents: Column) -> Column:
+    for e in exponents:
+        flow = flow * F.pow(F.lit(2.0), e)
+    return flow
+
+
+def rounding_instance(nodes: DataFrame, edges: DataFrame, flows: DataFrame, epsilon: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """What is left to round of a fractional flow: floors are fixed (whole values within epsilon too), edges with a fraction are
+    unit edges from base on, and demands are what the floors lack."""
+    f = edges.join(flows, ["problem_id", "edge_id"])
+    near = F.abs(F.col("flow") - F.round("flow")) <= epsilon
+    base = f.withColumn("base", F.when(near, F.round("flow")).otherwise(F.floor("flow")).cast("bigint")).withColumn("fraction", ~near)
+    zero = F.lit(0).cast("bigint")
+    left = base.where("fraction").select("problem_id", "edge_id", "src", "dst", zero.alias("lower"), F.lit(1).cast("bigint").alias("upper"), "cost", "base")
+    ends = base.select("problem_id", F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.col("base").alias("d")), F.struct(F.col("dst").alias("node_id"), (-F.col("base")).alias("d")))).alias("x"))
+    moved = ends.groupBy("problem_id", "x.node_id").agg(F.sum("x.d").alias("moved"))
+    needs = nodes.join(moved, ["problem_id", "node_id"], "left").select("problem_id", "node_id", (F.col("demand") + F.coalesce("moved", zero)).alias("demand"))
+    return needs, left
+
+
+def near_integer(flows: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+    return flows.groupBy("problem_id").agg(F.every(F.abs(F.col("flow") - F.round("flow")) <= epsilon).alias("near_integer"))
+
+
+def clamped_flow(edges: DataFrame, epsilon: float) -> DataFrame:
+    """edges whose flow is kept epsilon within its bounds, and whether that moved it."""
+    to = F.greatest(F.least(F.col("flow").cast("double"), F.col("upper") - epsilon), F.col("lower") + epsilon)
+    return edges.withColumn("moved", to != F.col("flow")).withColumn("flow", to)
+
+
+def midpoints(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("flow", (F.col("lower") + F.col("upper")) / 2)

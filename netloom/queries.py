@@ -420,3 +420,48 @@ def deltas_merged(spark, sf_dir):
     up = e.where("edge_id % 11 = 0").withColumn("cost", F.col("cost") + 100).withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(1))
     gone = e.where("edge_id % 13 = 0").withColumn("op", F.lit("delete")).withColumn("seq", F.lit(2))
     return deltas.merge(e, up.unionByName(gone)).groupBy("problem_id").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+
+
+@query(f"WITH {E}, x AS (SELECT problem_id, CAST(floor(log2(greatest(max(abs(cost)), 1))) AS INT) AS k, CAST(floor(log2(greatest(max(upper), 1))) AS INT) AS j FROM e GROUP BY 1) SELECT problem_id, CAST(sum(round(cost / pow(2.0, k))) AS BIGINT) AS scaled_cost, CAST(sum(greatest(round(upper / pow(2.0, j)), 1)) AS BIGINT) AS scaled_upper FROM e JOIN x USING (problem_id) GROUP BY 1")
+def polynomial_scaling_lines(spark, sf_dir):
+    e = rewrite.polynomial_costs(tables.line_edges(spark, sf_dir)).drop("exponent")
+    return rewrite.polynomial_capacities(e).groupBy("problem_id").agg(F.sum("scaled_cost").alias("scaled_cost"), F.sum("scaled_upper").alias("scaled_upper"))
+
+
+@query(f"WITH {E}, b AS (SELECT *, flow AS base FROM e), d AS (SELECT problem_id, src AS node_id, base AS d FROM b UNION ALL SELECT problem_id, dst, -base FROM b) SELECT problem_id, (SELECT count(*) FROM e f WHERE f.problem_id = d.problem_id AND upper % 4 = 1) AS edges, CAST(sum(abs(m)) AS BIGINT) AS missing FROM (SELECT problem_id, node_id, sum(d) AS m FROM d GROUP BY 1, 2) d GROUP BY problem_id")
+def rounding_lines(spark, sf_dir):
+    e = tables.line_edges(spark, sf_dir)
+    flows = e.select("problem_id", "edge_id", (F.col("flow") + F.when(F.col("upper") % 4 == 1, 0.5).otherwise(0.0)).alias("flow"))
+    nodes, left = rewrite.rounding_instance(_line_nodes(e), e.drop("flow"), flows)
+    need = nodes.groupBy("problem_id").agg(F.sum(F.abs("demand")).alias("missing"))
+    return left.groupBy("problem_id").agg(F.count("*").alias("edges")).join(need, "problem_id")
+
+
+@query(f"WITH {E} SELECT problem_id, least(src, dst) AS u, greatest(src, dst) AS v, min(edge_id) AS edge_id FROM e WHERE src <> dst GROUP BY 1, 2, 3")
+def undirected_pairs_lines(spark, sf_dir):
+    return graph.undirected_pairs(tables.line_edges(spark, sf_dir))
+
+
+@query(f"WITH {E}, x AS (SELECT problem_id, src AS node_id FROM e UNION ALL SELECT problem_id, dst FROM e), d AS (SELECT problem_id, node_id, count(*) AS degree FROM x GROUP BY 1, 2), n AS (SELECT problem_id, ceil(0.3 * ln(greatest(count(*), 2))) AS least FROM d GROUP BY 1) SELECT problem_id, node_id, degree FROM d JOIN n USING (problem_id) WHERE degree < least")
+def low_degree_lines(spark, sf_dir):
+    return graph.low_degree(tables.line_edges(spark, sf_dir), 0.3)
+
+
+@query(f"WITH {E}, n AS (SELECT problem_id, src AS v FROM e UNION SELECT problem_id, dst FROM e) SELECT problem_id, CAST(v % 8 AS INT) AS part, count(*) AS nodes, CAST(sum(v // 2) AS BIGINT) AS images FROM n GROUP BY 1, 2")
+def node_parts_lines(spark, sf_dir):
+    n = _line_nodes(tables.line_edges(spark, sf_dir))
+    return graph.parts(n, 8).join(graph.halved(n), ["problem_id", "node_id"]).groupBy("problem_id", "part").agg(F.count("*").alias("nodes"), F.sum("image").alias("images"))
+
+
+@query(f"{PATHS} SELECT round(avg(p.d / e.w), 6) AS mean_stretch FROM e JOIN p ON p.a = e.u AND p.v = e.v")
+def mean_stretch_regions(spark, sf_dir):
+    nodes, e, forest = _region_tree(spark, sf_dir)
+    return graph.mean_stretch(graph.stretch(graph.rooted(nodes, forest), e)).select(F.round("mean_stretch", 6).alias("mean_stretch"))
+
+
+@query(f"WITH {E} SELECT problem_id, bool_and(edge_id % 3 = 0 OR upper <= 0.5 * (upper + 20)) AS stable FROM e GROUP BY 1")
+def stability_lines(spark, sf_dir):
+    e = tables.line_edges(spark, sf_dir)
+    before = e.select("problem_id", "edge_id", (F.col("upper") + 20.0).alias("width"))
+    dirty = e.where("edge_id % 3 = 0").select("problem_id", "edge_id")
+    return graph.widths_stable(before, e.select("problem_id", "edge_id", F.col("upper").cast("double").alias("width")), dirty, 0.5)
