@@ -191,7 +191,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     known = mix.documents.where("size > 0").select("src", "start", "tie", F.col("size").alias("_size"))
     runs = known.join(runs.hint("merge"), ["src", "start"]).select("tie", "_size", "_runs")
     names = docs.columns
-    one = docs.withColumn("tie", F.xxhash64("doc_id", "text")).dropDuplicates(["tie"])
+    one = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
+    if one.groupBy("tie").count().where("count > 1").select("tie").take(1):  # only then do whole rows have to be compared
+        one = one.dropDuplicates(["tie"])
     out = one.join(runs.hint("merge"), "tie")
     whole = (F.size("_runs") > 0) & (F.expr("aggregate(_runs, 0L, (a, r) -> a + r.end_word - r.first_word)") == F.col("_size"))
     words = F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))
