@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles. Sets are ordered rare sh
 by how often chunks of the input repeat a shingle, then by hash. Two sets of similarity T or more share a shingle among the
 first n - ceil(T n) + 1 of each. Documents with equal sets are one member, members with identical prefixes and size one
 group. Groups that share a prefix shingle form a list. Group pairs are filtered by size and by the shingle's places;
-what passes is expanded to members and verified on the whole sets.
+what passes is expanded to members, filtered by counts of hash buckets, and verified on the whole sets.
 
 Lists aren't paired up. In each of a few rounds every list pairs its members with one leader; what verifies is linked, and
 lists whose members are in one component by then are done. In the lists that are left, every member outside the list's
@@ -35,11 +35,13 @@ CHUNK, OFTEN = 1 << 21, 3
 #: Shingles that the order knows as frequent, at most; it bears on speed alone.
 FREQUENT = 1 << 20
 ROUNDS = 2
+#: Buckets of the counts by which pairs are filtered before whole sets are read.
+BUCKETS = 256
 #: Bits of a filter at most: 8 MB.
 MOST_BITS = 1 << 26
 
 _COUNTED = pa.schema([("token", pa.int64()), ("n", pa.int64())])
-_PREFIXES = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_PREFIXES = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _SETS = pa.schema([("sid", pa.int64()), ("items", pa.binary())])
 
@@ -53,6 +55,16 @@ def set_id(items: np.ndarray) -> int:
         return int(_signed(common.mix64(np.array([np.bitwise_xor.reduce(common.mix64(items + np.uint64(77))) + common.mix64(items).sum(dtype=np.uint64) + np.uint64(len(items))])))[0])
 
 
+def counts_of(items: np.ndarray) -> bytes:
+    """How many shingles fall in each of BUCKETS buckets: two sets share no more than the sum of the smaller counts."""
+    n = np.bincount((items & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == BUCKETS else np.uint32)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -84,7 +96,7 @@ def _prefixes(frequent, percent: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = common.shingle_set(text)
                 if not len(s):
-                    out.append((doc_id, None, 0, None, []))
+                    out.append((doc_id, None, 0, None, [], None))
                     continue
                 if len(known):
                     at = np.searchsorted(known, s).clip(max=len(known) - 1)
@@ -93,7 +105,7 @@ def _prefixes(frequent, percent: int):
                 else:
                     order = np.arange(len(s))
                 first = s[order[: prefix_length(len(s), percent)]]
-                out.append((doc_id, set_id(s), len(s), set_id(np.append(first, np.uint64(len(s)))), _signed(first)))
+                out.append((doc_id, set_id(s), len(s), set_id(np.append(first, np.uint64(len(s)))), _signed(first), counts_of(s)))
             yield common.arrow(_PREFIXES, **dict(zip(_PREFIXES.names, zip(*out, strict=True), strict=True)))
 
     return run
@@ -157,6 +169,19 @@ def _sets(bloom):
     return run
 
 
+def _possible(percent: int, rows):
+    """Pairs whose counts allow the overlap that a link needs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in common.batches(rows):
+        a, b, x, y = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for i, (p, q) in enumerate(zip(x, y, strict=True)):
+            p, q = _counts(p), _counts(q)
+            if (100 + percent) * int(np.minimum(p, q).sum(dtype=np.int64)) >= percent * (int(p.sum(dtype=np.int64)) + int(q.sum(dtype=np.int64))):
+                keep.append(i)
+        yield common.arrow(schema, a=[a[i] for i in keep], b=[b[i] for i in keep])
+
+
 def _verify(percent: int, rows):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in common.batches(rows):
@@ -181,10 +206,12 @@ class Join:
         token = often["token"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(token)
         frequent = spark.sparkContext.broadcast((token[order], often["n"].to_numpy(np.int64)[order]))  # FREQUENT shingles at most
-        ddl = "doc_id long, sid long, n int, gid long, prefix array<long>"
+        ddl = "doc_id long, sid long, n int, gid long, prefix array<long>, counts binary"
         prefixes = common.materialize(rows.mapInArrow(_prefixes(frequent, percent), ddl), "prefixes")
         self.documents = prefixes.select("doc_id", "sid", "n")
-        members = common.materialize(prefixes.where("sid IS NOT NULL").groupBy("sid", "gid", "n").agg(F.min("doc_id").alias("doc_id")), "members")
+        members = common.materialize(prefixes.where("sid IS NOT NULL").groupBy("sid", "gid", "n").agg(F.min("doc_id").alias("doc_id"), F.first("counts").alias("counts")), "members")
+        self.rows, self.members = rows, members.select("sid", "doc_id")
+        self.counts = members.select("sid", "counts")
         groups = members.groupBy("gid", "n").agg(F.count("*").alias("m"), F.min("sid").alias("rep"))
         # A shingle forms a list when two groups have it; equal ones met in each task before the shuffle.
         ends = prefixes.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
@@ -200,10 +227,6 @@ class Join:
         items = common.materialize(lists.where("rep IS NOT NULL").select("token", F.col("rep").alias("sid"), "n", "pos").unionByName(inner), "items")
         every = lists.where("rep IS NOT NULL").join(several.select("gid"), "gid").join(members.select("gid", "sid"), "gid").where("sid <> rep").select("token", "sid", "n", "pos")
         self.all_items = items.unionByName(every)
-        wanted = members.join(self.all_items.select("sid").distinct(), "sid", "left_semi")
-        chosen = spark.sparkContext.broadcast(Bloom(wanted, "doc_id"))
-        sets = rows.mapInArrow(_sets(chosen), "sid long, items binary").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-        self.sets = common.materialize(sets, "sets")
         self.links = self.labels = None
         tried = None
         for turn in range(rounds):
@@ -246,9 +269,16 @@ class Join:
         return self._pairs(open_.where("label <> main").join(other, "token").where("label <> label2"))
 
     def _link(self, pairs: DataFrame) -> None:
-        one, two = self.sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), self.sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verify, self.percent), "a long, b long")
-        found = common.materialize(found, "found")
+        """Verifies pairs: by their counts, and then on whole sets, which are made anew for those that are left."""
+        side = lambda df, c, v, n: df.select(F.col("sid").alias(c), F.col(v).alias(n))
+        near = pairs.join(side(self.counts, "a", "counts", "x"), "a").join(side(self.counts, "b", "counts", "y"), "b").select("a", "b", "x", "y")
+        near = common.materialize(near.mapInArrow(partial(_possible, self.percent), "a long, b long"), "near")
+        sids = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        # One document stands for all with its set; what the filter lets through besides does no harm.
+        chosen = self.rows.sparkSession.sparkContext.broadcast(Bloom(common.materialize(self.members.join(sids, "sid", "left_semi"), "chosen"), "doc_id"))
+        sets = common.materialize(self.rows.mapInArrow(_sets(chosen), "sid long, items binary"), "sets")
+        found = near.join(side(sets, "a", "items", "x"), "a").join(side(sets, "b", "items", "y"), "b").select("a", "b", "x", "y")
+        found = common.materialize(found.mapInArrow(partial(_verify, self.percent), "a long, b long").distinct(), "found")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = components(self.links)
 
