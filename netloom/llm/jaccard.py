@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -218,14 +218,18 @@ class Join:
         shared = common.materialize(ends.where("low <> high").select("token"), "shared")
         bloom = spark.sparkContext.broadcast(Bloom(shared, "token"))
         postings = prefixes.select("gid", "n", "prefix").mapInArrow(_postings(bloom), "token long, gid long, n int, pos int").distinct().join(shared, "token", "left_semi")
+        # What two groups share before a shingle they share among these: seen counts them. A group with many is a good leader.
+        of = Window.partitionBy("gid")
+        postings = postings.withColumn("seen", F.row_number().over(of.orderBy("pos")) - 1).withColumn("weight", F.count("*").over(of).cast("int"))
         # The members of one group, if it has several, are a list too.
-        own = groups.where("m > 1").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("pos"))
+        zero = F.lit(0)
+        own = groups.where("m > 1").select(F.col("gid").alias("token"), "gid", "n", zero.alias("pos"), zero.alias("seen"), zero.alias("weight"))
         lists = common.materialize(postings.join(groups.select("gid", "rep"), "gid").unionByName(own.withColumn("rep", F.lit(None).cast("long"))), "lists")
         several = common.materialize(groups.where("m > 1").select("gid", "rep"), "several")
         # A list's items are the first members of its groups; for the list of one group, all its members.
-        inner = members.join(several.select("gid"), "gid").select(F.col("gid").alias("token"), "sid", "n", F.lit(0).alias("pos"))
-        items = common.materialize(lists.where("rep IS NOT NULL").select("token", F.col("rep").alias("sid"), "n", "pos").unionByName(inner), "items")
-        every = lists.where("rep IS NOT NULL").join(several.select("gid"), "gid").join(members.select("gid", "sid"), "gid").where("sid <> rep").select("token", "sid", "n", "pos")
+        inner = members.join(several.select("gid"), "gid").select(F.col("gid").alias("token"), "sid", "n", *[zero.alias(c) for c in ("pos", "seen", "weight")])
+        items = common.materialize(lists.where("rep IS NOT NULL").select("token", F.col("rep").alias("sid"), "n", "pos", "seen", "weight").unionByName(inner), "items")
+        every = lists.where("rep IS NOT NULL").join(several.select("gid"), "gid").join(members.select("gid", "sid"), "gid").where("sid <> rep").select("token", "sid", "n", "pos", "seen", "weight")
         self.all_items = items.unionByName(every)
         self.links = self.labels = None
         tried = None
@@ -244,9 +248,9 @@ class Join:
         return items.join(named, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
     def _pairs(self, joined: DataFrame) -> DataFrame:
-        """From rows with sid, n, pos and sid2, n2, pos2: distinct pairs a < b that sizes and places allow."""
+        """From rows with sid, n, pos, seen and sid2, n2, pos2, seen2: distinct pairs a < b that sizes and places allow."""
         small, large = F.least("n", "n2"), F.greatest("n", "n2")
-        most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        most = F.least("seen", "seen2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
         joined = joined.where((F.col("sid") != F.col("sid2")) & (100 * small >= self.percent * large))
         joined = joined.where((100 + self.percent) * most >= self.percent * (F.col("n") + F.col("n2")))
         return joined.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
@@ -256,8 +260,10 @@ class Join:
             items = self._labelled(items)
             open_ = items.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
             items = items.join(open_, "token", "left_semi")
-        leader = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "pos")).alias("l")
-        leaders = items.groupBy("token").agg(leader).select("token", F.col("l.sid").alias("sid2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
+        # First the member with the most shared shingles in its prefix, so the fewest changes of its own; then any.
+        best = -F.col("weight") if turn == 0 else F.lit(0)
+        leader = F.min(F.struct(best, F.xxhash64("sid", F.lit(turn)), "sid", "n", "pos", "seen")).alias("l")
+        leaders = items.groupBy("token").agg(leader).select("token", *[F.col(f"l.{c}").alias(f"{c}2") for c in ("sid", "n", "pos", "seen")])
         return self._pairs(items.join(leaders, "token"))
 
     def _left_over(self, items: DataFrame) -> DataFrame:
@@ -265,7 +271,7 @@ class Join:
         by = items.groupBy("token", "label").agg(F.count("*").alias("c"))
         main = by.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
         open_ = items.join(main, "token")
-        other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "label")])
+        other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "seen", "label")])
         return self._pairs(open_.where("label <> main").join(other, "token").where("label <> label2"))
 
     def _link(self, pairs: DataFrame) -> None:
