@@ -5,8 +5,10 @@ Learning finds the terms (words and stems that stand in toxic texts and almost n
 regression, what a text's hits say: exact and misspelled ones, inside and outside quotation, alone or close together. It
 reads at most SAMPLE labelled rows, none held out, and keeps at most TERMS terms.
 
-A word is looked up in a trie of the terms by an automaton that allows a number of edits by the term's length. A word with
-so few edits holds one of the term's parts unchanged; words without any part of a term skip the automaton.
+A word is looked up in a trie of the terms by an automaton that allows a number of edits by the term's length; two letters
+that have changed places are one edit. A word with so few edits holds one of the term's parts unchanged, or, where letters of
+two parts have changed places, one of the parts that this makes; words without any part of a term skip the automaton. Words
+that are near a term but stand in clean labelled texts (by PRECISION) are no misspellings.
 
 Cases: null and empty texts score like texts without hits; a null id is neither learned from nor held out; where nothing
 could be learned, all score 0; repeated rows give repeated rows; an empty table gives no rows; further columns are not read.
@@ -46,7 +48,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 
 def edits(length: int) -> int:
-    return 0 if length < 6 else 1 if length < 10 else 2
+    return 0 if length < 4 else 1 if length < 10 else 2
 
 
 def bare(token: str) -> str:
@@ -54,10 +56,10 @@ def bare(token: str) -> str:
 
 
 class Lexicon:
-    """A trie of terms. A term that ends in * is a stem: words that begin with it count."""
+    """A trie of terms. A term that ends in * is a stem: words that begin with it count. Words of clean are not misspelled."""
 
-    def __init__(self, terms: list[str]):
-        self.terms = sorted(terms)
+    def __init__(self, terms: list[str], clean: frozenset[str] = frozenset()):
+        self.terms, self.clean = sorted(terms), clean
         self.root: dict = {}
         self.exact, self.stems = set(), set()
         self.parts: set[tuple[int, str]] = set()
@@ -71,11 +73,12 @@ class Lexicon:
             node[""] = (term.endswith("*"), edits(len(core)))
             k = edits(len(core))
             cuts = [round(i * len(core) / (k + 1)) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if k:
+            swapped = [core[: c - 1] + core[c] + core[c - 1] + core[c + 1 :] for c in cuts[1:-1]]
+            for form in (core, *swapped) if k else ():
+                for a, b in zip(cuts, cuts[1:], strict=False):
                     for shift in range(-k, k + 1):
                         if a + shift >= 0:
-                            self.parts.add((a + shift, core[a:b]))
+                            self.parts.add((a + shift, form[a:b]))
                             self.lengths.add((a + shift, b - a))
         self.spots = sorted(self.lengths)
         self.stem_lengths = sorted({len(s) for s in self.stems})
@@ -83,11 +86,12 @@ class Lexicon:
     def near(self, word: str) -> bool:
         """Whether the automaton of any term, of as many edits as its length allows, takes the word or, for stems, its beginning.
 
-        The trie is walked with the automaton's states, one row of edit distances for each node."""
+        The trie is walked with the automaton's states, one row of edit distances for each node; letters that have changed
+        places need the row before it too."""
         n, most = len(word), 2
-        stack = [(self.root, list(range(n + 1)))]
+        stack = [(self.root, list(range(n + 1)), "", [])]
         while stack:
-            node, row = stack.pop()
+            node, row, last, before = stack.pop()
             for c, child in node.items():
                 if not c:
                     stem, k = child
@@ -97,8 +101,10 @@ class Lexicon:
                 new = [row[0] + 1]
                 for j in range(n):
                     new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (word[j] != c)))
+                    if j and word[j] == last and word[j - 1] == c:
+                        new[-1] = min(new[-1], before[j - 1] + 1)
                 if min(new) <= most:
-                    stack.append((child, new))
+                    stack.append((child, new, c, row))
         return False
 
     def kind(self, token: str) -> int:
@@ -112,7 +118,7 @@ class Lexicon:
         if plain != word and (plain in self.exact or any(plain[:n] in self.stems for n in self.stem_lengths)):
             return 2
         parts = self.parts
-        if any((a, plain[a : a + n]) in parts for a, n in self.spots) and self.near(plain[: STEM_MOST + 12]):
+        if word not in self.clean and any((a, plain[a : a + n]) in parts for a, n in self.spots) and self.near(plain[: STEM_MOST + 12]):
             return 2
         return 0
 
@@ -214,6 +220,23 @@ def _count(only=None):
     return run
 
 
+def _misspelled(lexicon):
+    """Texts by word that the lexicon takes for misspelled, signs that stand for letters aside."""
+
+    def run(rows):
+        total: Counter = Counter()
+        kinds: dict[str, bool] = {}
+        for batch in common.batches(rows, 64):
+            for text in batch.column(0).to_pylist():
+                words = {bare(t) for t in (text or "").split()}
+                for w in words.difference(kinds):
+                    kinds[w] = lexicon.value.kind(w) == 2
+                total.update(w for w in words if kinds[w])
+        yield common.arrow(_TERMS, term=list(total), n=list(total.values()))
+
+    return run
+
+
 def choose(counts: list[tuple[str, int, int]]) -> list[str]:
     """Of terms with their texts (toxic, other): whole words, and the longest stems that cover as much as a shorter one."""
     held = {t: a for t, a, _ in counts}
@@ -265,7 +288,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     other = {r.term: r.n for r in of(0, spark.sparkContext.broadcast(frozenset(toxic))).collect()}
     top = [(t, n, m) for t, n in sorted(toxic.items()) if n >= PRECISION * (n + (m := other.get(t, 0)))]
     chosen = sorted(choose(top), key=lambda t: (-toxic[t], t))[:TERMS]
-    lexicon = Lexicon(chosen)
+    first = spark.sparkContext.broadcast(Lexicon(chosen))
+    # Words near a term, with their texts: so few that they come to the driver, as the sample is bounded.
+    near = {label: {r.term: r.n for r in known.where(F.col("label") == label).select("text").mapInArrow(_misspelled(first), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} for label in (0, 1)}
+    lexicon = Lexicon(chosen, frozenset(w for w, m in near[0].items() if (n := near[1].get(w, 0)) < PRECISION * (n + m)))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(parts):

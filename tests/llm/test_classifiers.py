@@ -77,6 +77,22 @@ def test_automaton_against_edit_distance():
     assert lexicon.kind("W0rthless!") == 2 and lexicon.kind("Stupid,") == 1
 
 
+def test_misspelled_short_terms():
+    lexicon = toxicity.Lexicon(["idiot", "moron", "trash", "loser", "scum", "clown", "moro*", "disgusting"], frozenset(["lower", "crown"]))
+    for word in "idoit iidot idito morron trahs lozer losre scmu csum sucm clwon cllown disgsutnig".split():
+        assert lexicon.kind(word) == 2, word
+    for word in "lower crown friend table".split():
+        assert lexicon.kind(word) == 0, word
+
+
+def test_misspelled_short_terms_are_learned_against_clean_words(spark):
+    rows = [(i, f"some words here {'idiot' if i % 3 == 0 else 'idiom' if i % 3 == 1 else 'friend'} and w{i} x{i * 7} y{i * 3}") for i in range(200)] + [(900, "you idoit"), (901, "an idiom")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert "idiot" in model.lexicon.terms or any("idiot".startswith(t[:-1]) for t in model.lexicon.terms if t.endswith("*"))
+    assert model.lexicon.kind("idoit") == 2 and model.lexicon.kind("idiom") == 0
+
+
 def test_quotation():
     reader = toxicity.Reader(toxicity.Lexicon(["stupid"]))
     plain, quoted = reader.features("you are stupid and so on"), reader.features('the sign read "you are stupid" and so on')
