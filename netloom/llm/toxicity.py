@@ -3,7 +3,7 @@ quotation from abuse.
 
 Learning finds the terms (words and stems that stand in toxic texts and almost never in others) and weighs, by logistic
 regression, what a text's hits say: exact and misspelled ones, inside and outside quotation, alone or close together. It
-reads at most SAMPLE labelled rows, none held out, and keeps at most TERMS terms.
+reads at most SAMPLE labelled rows, none held out, less copies and most near copies, and keeps at most TERMS terms.
 
 A word is looked up in a trie of the terms by an automaton that allows a number of edits by the term's length; two letters
 that have changed places are one edit. A word with so few edits holds one of the term's parts unchanged, or, where letters of
@@ -33,6 +33,8 @@ SUPPORT, SUPPORT_SHARE, PRECISION = 6, 0.01, 0.85
 STEM_LEAST, STEM_MOST = 4, 12
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.3
+#: Min-hashes that near copies share all together.
+SIGNS_OF_COPY = 4
 #: Words to either side that make a hit's context.
 CONTEXT = 12
 REMEMBERED = 400_000
@@ -42,7 +44,7 @@ REPORTING = frozenset("said says wrote called quote quoted dit écrit cité sagt
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 
 _TERMS = pa.schema([("term", pa.string()), ("n", pa.int64())])
-_SIGNED = pa.schema([("label", pa.int32()), ("text", pa.string()), ("copy", pa.int64())])
+_SIGNED = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("copy", pa.int64())])
 _FEATURES = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.float64()))])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -196,11 +198,19 @@ def terms_of(text: str | None) -> set[str]:
     return terms | {w[:n] + "*" for w in terms for n in range(STEM_LEAST, min(len(w), STEM_MOST + 1))}
 
 
+def copy_of(text: str | None) -> int:
+    """One name for SIGNS_OF_COPY min-hashes of the text's five-word shingles: equal texts share it, near copies mostly, unlike texts don't."""
+    s = common.shingle_set(text)
+    if not len(s):
+        return 0
+    least = [common.mix64(s ^ common.mix64(np.array([i + 1], np.uint64))).min() for i in range(SIGNS_OF_COPY)]
+    return int(common.shingles_of(np.array(least, np.uint64), SIGNS_OF_COPY)[0].view(np.int64))
+
+
 def _signed(rows):
-    """Adds the least hash of a text's words: most near copies share it, so that learning sees few of a group's copies."""
+    """Adds the name that near copies share, so that learning sees few of a group's copies."""
     for batch in common.batches(rows):
-        least = [int(h.min().view(np.int64)) if t and len(h := common.words_of(common.lowered(t))[0]) else 0 for t in batch.column(1).to_pylist()]
-        yield common.arrow(_SIGNED, label=batch.column(0), text=batch.column(1), copy=least)
+        yield common.arrow(_SIGNED, label=batch.column(0), doc_id=batch.column(1), text=batch.column(2), copy=list(map(copy_of, batch.column(2).to_pylist())))
 
 
 def _count(only=None):
@@ -279,8 +289,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.where(F.col("toxic").isin(0, 1) & (fold != FOLD)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     some = rows.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "label").limit(sample)
     # At most SAMPLE rows of 12 bytes are broadcast. The labelled texts are kept, as both steps of learning read them.
-    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
-    known = common.materialize(known.mapInArrow(_signed, "label int, text string, copy long").dropDuplicates(["label", "copy"]), "labelled")
+    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "doc_id", "text")
+    known = known.mapInArrow(_signed, "label int, doc_id long, text string, copy long")
+    # Of copies the row of the smallest id stays.
+    known = known.groupBy("label", "copy").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("label", F.col("first.text").alias("text"))
+    known = common.materialize(known, "labelled")
     least = max(SUPPORT, SUPPORT_SHARE * known.where("label = 1").count())
     of = lambda label, only=None: known.where(F.col("label") == label).select("text").mapInArrow(_count(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     # Terms of the sample's toxic texts: as many as a sample of this size can hold, so bounded, and few.

@@ -93,6 +93,19 @@ def test_misspelled_short_terms_are_learned_against_clean_words(spark):
     assert model.lexicon.kind("idoit") == 2 and model.lexicon.kind("idiom") == 0
 
 
+def test_only_copies_are_left_out_of_the_sample(spark):
+    """Texts that share most single words, but no sequence, all count; copies and near copies count once."""
+    own = np.random.default_rng(2)
+    texts = [" ".join(own.permutation([f"c{i}" for i in range(60)])) for _ in range(50)]
+    assert len({toxicity.copy_of(t) for t in texts}) == 50
+    assert toxicity.copy_of(texts[0].upper()) == toxicity.copy_of(texts[0]) and toxicity.copy_of(None) == toxicity.copy_of(" ") == 0
+    rows = [(i, t + (" idiot" if i % 2 else "")) for i, t in enumerate(texts)] + [(100 + i, texts[0]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 2 and i < 100)) for i, _ in rows], "doc_id long, toxic int"))
+    assert toxicity.predict(docs, model).where("doc_id < 100 AND predicted <> doc_id % 2").count() == 0
+    assert model.lexicon.terms
+
+
 def test_quotation():
     reader = toxicity.Reader(toxicity.Lexicon(["stupid"]))
     plain, quoted = reader.features("you are stupid and so on"), reader.features('the sign read "you are stupid" and so on')
