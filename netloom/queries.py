@@ -223,6 +223,21 @@ def components_small_lines(spark, sf_dir):
     return graph.connected(nodes, e).select("node_id", "component")
 
 
+# Each round keeps, by node, the least label known so far, so that the recursion takes as many rounds as the graph is wide.
+LINES_COMPONENTS = """WITH RECURSIVE x AS MATERIALIZED (SELECT DISTINCT l_suppkey AS s, 1000000 + l_partkey AS p FROM lineitem),
+e AS MATERIALIZED (SELECT s AS a, p AS b FROM x UNION SELECT p, s FROM x),
+r(node_id, component) USING KEY (node_id) AS (SELECT DISTINCT a, a FROM e
+UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node_id JOIN recurring.r AS o ON o.node_id = e.b WHERE r.component < o.component GROUP BY e.b)
+SELECT node_id, component FROM r"""
+
+
+@query(LINES_COMPONENTS)
+def components_lines(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "lineitem").select(F.lit("0").alias("problem_id"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    nodes = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return graph.connected(nodes, e).select("node_id", "component")
+
+
 @query(f"WITH {DAYS}, i AS (SELECT d + 1 AS d, c FROM n), j AS (SELECT a.d AS j, b.d AS k, avg(x.c) AS m FROM i a JOIN i b ON a.d <= b.d JOIN i x ON x.d BETWEEN a.d AND b.d GROUP BY 1, 2) SELECT i.d - 1 AS node_id, round(max(l.low), 6) AS fitted FROM i JOIN (SELECT j, p.d AS d, min(m) AS low FROM j JOIN i p ON j.j <= p.d AND j.k >= p.d GROUP BY 1, 2) l ON l.d = i.d GROUP BY i.d")
 def isotonic_days(spark, sf_dir):
     return reductions.isotonic_chain(_day_values(spark, sf_dir)).select("node_id", F.round("fitted", 6).alias("fitted"))
