@@ -19,18 +19,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join the document with the smallest id stays; what has no words stays too."""
-    classes = jaccard.Join(docs).classes()
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    # Rows that repeat an id are one document; of these, the row with the smallest hash stays.
-    twice = common.materialize(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    if not twice.count():
-        return kept
-    tied = kept.withColumn("_tie", F.xxhash64(*docs.columns))
-    least = tied.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min("_tie").alias("_least"))
-    tied = tied.join(least, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("_least IS NULL OR _least = _tie")
-    return tied.dropDuplicates(["doc_id", "_tie"]).select(*docs.columns)
+    """Of each component of the Jaccard join one row stays: that of the smallest id (null ids come last), then of the smallest
+    hash. What has no words stays too."""
+    join = jaccard.Join(docs)
+    tie = F.xxhash64(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", tie.alias("tie")).mapInArrow(jaccard.named, "doc_id long, tie long, sid long")
+    labels = join.labels.withColumnRenamed("node", "sid")
+    rows = rows.join(labels, "sid", "left").groupBy(F.coalesce("label", "sid").alias("label"))
+    first = rows.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_first"))
+    first = common.materialize(first, "first")
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD)
+    kept = docs.where(words).withColumn("_tie", tie)
+    same = (F.col("_tie") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = kept.join(first.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_tie"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~words))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,15 @@ def _sets(bloom):
     return run
 
 
+def named(rows):
+    """doc_id, a value and the set's id of each doc_id, text and value, of the texts with words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("sid", pa.int64())])
+    for batch in common.batches(rows):
+        of = [(i, set_id(s)) for i, t in enumerate(batch.column(1).to_pylist()) if len(s := common.shingle_set(t))]
+        at = pa.array([i for i, _ in of], pa.int64())
+        yield common.arrow(schema, doc_id=batch.column(0).take(at), tie=batch.column(2).take(at), sid=[x for _, x in of])
+
+
 def _possible(percent: int, rows):
     """Pairs whose counts allow the overlap that a link needs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

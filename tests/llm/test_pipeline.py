@@ -49,6 +49,17 @@ def test_edge_rows(spark):
     assert [n for n, _ in cp.STAGES] == ["language", "near duplicates", "secrets", "mixing", "packing"]
 
 
+def test_one_row_of_each_component(spark):
+    """Unlike documents under null ids or one id stay; of near duplicates one stays, whatever their ids."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(k), "en", "a", 5) for k in range(8)] + [(7, text(k), "en", "a", 5) for k in range(20, 26)]
+    rows += [(None, text(20), "en", "a", 5), (3, text(30), "en", "a", 5), (7, text(30), "en", "a", 5), (7, text(30) + " more", "en", "a", 5), (3, text(30), "en", "a", 5)]
+    rows += [(8, "", "en", "a", 0), (None, None, "en", "a", 0), (None, " \n", "en", "a", 0)]
+    got = cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    want = [*rows[:14], rows[15], *rows[-3:]]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_entry_lives_without_the_pipeline(monkeypatch):
     import sys
 
