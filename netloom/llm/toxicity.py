@@ -83,6 +83,8 @@ class Lexicon:
                             self.parts.add((a + shift, form[a:b]))
                             self.lengths.add((a + shift, b - a))
         self.spots = sorted(self.lengths)
+        #: Letters of a word that tell whether it is near a term: of the longest term, its edits and one more.
+        self.most = max(map(len, self.stems | self.exact), default=0) + 3
         self.stem_lengths = sorted({len(s) for s in self.stems})
 
     def near(self, word: str) -> bool:
@@ -120,7 +122,7 @@ class Lexicon:
         if plain != word and (plain in self.exact or any(plain[:n] in self.stems for n in self.stem_lengths)):
             return 2
         parts = self.parts
-        if word not in self.clean and any((a, plain[a : a + n]) in parts for a, n in self.spots) and self.near(plain[: STEM_MOST + 12]):
+        if word not in self.clean and any((a, plain[a : a + n]) in parts for a, n in self.spots) and self.near(plain[: self.most]):
             return 2
         return 0
 

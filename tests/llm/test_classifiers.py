@@ -106,6 +106,13 @@ def test_only_copies_are_left_out_of_the_sample(spark):
     assert model.lexicon.terms
 
 
+def test_misspelled_long_terms():
+    long, cut = "abcdefghijklmnopqrstuvwxyzabcdefgh", "abcdefghijklmnopqrstuvw"
+    lexicon = toxicity.Lexicon([long, cut])
+    assert lexicon.kind(long[:20] + "0" + long[21:]) == 2 and lexicon.kind(long[:-2] + "hg") == 2
+    assert lexicon.kind(cut + "q") == 2 and lexicon.kind(cut + "qqqq") == 0
+
+
 def test_quotation():
     reader = toxicity.Reader(toxicity.Lexicon(["stupid"]))
     plain, quoted = reader.features("you are stupid and so on"), reader.features('the sign read "you are stupid" and so on')
