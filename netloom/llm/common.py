@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset and driver and executors
+    are one machine, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if sc.applicationId not in _own:
             _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="netloom-")
             sc.setCheckpointDir(_own[sc.applicationId])
@@ -50,6 +53,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() has written, once nothing reads them any more; the rest goes at exit."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for known in [k for k in _written if k[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
+                _written.remove(known)
+                _delete(*known)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

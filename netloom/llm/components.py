@@ -24,6 +24,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         of = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
         jumped = lower.join(of, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("label"), (F.col("label") != F.least("next", F.coalesce("beyond", "next"))).alias("changed"))
         jumped = common.materialize(jumped, "jumped")
+        common.drop(labels, lower)
         labels = jumped.select("node", "label")
-        if not jumped.where("changed").count():
+        if jumped.where("changed").isEmpty():
+            common.drop(both)
             return labels

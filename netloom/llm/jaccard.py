@@ -3,17 +3,21 @@
 A document's set holds its distinct five-word shingles. Sets are ordered rare shingles first, under one order for all:
 by how often chunks of the input repeat a shingle, then by hash. Two sets of similarity T or more share a shingle among the
 first n - ceil(T n) + 1 of each. Documents with equal sets are one member, members with identical prefixes and size one
-group. Groups that share a prefix shingle form a list. Group pairs are filtered by size and by the shingle's places;
-what passes is expanded to members, filtered by counts of hash buckets, and verified on the whole sets.
+group. Groups that share a prefix shingle form a list. A pair is looked for at the first shingle that both share, so what each
+has from there on must hold the whole overlap; that is the filter by size and place. What passes is expanded to members,
+filtered by parities (bits that tell how far two sets differ at least), and verified on the whole sets.
 
-Lists aren't paired up. In each of a few rounds every list pairs its members with one leader; what verifies is linked, and
-lists whose members are in one component by then are done. In the lists that are left, every member outside the list's
-largest component meets all members of other components, so no link between components is lost, and groups of copies or
-near copies cost as many pairs as they have members.
+A list of two is a pair at once. Longer lists aren't paired up: in each of a few rounds every list pairs its members with one
+leader; what verifies is linked, and lists whose members are in one component by then are done. In the lists that are left,
+members outside the list's largest component meet members of other components. There the smaller set of a pair must have the
+shingle among its first n - ceil(2T/(1+T) n) + 1, so documents that share only a frequent passage, and have more of their own than a
+pair's difference allows, meet nobody. No link between components is lost, and groups of copies or near copies cost as many
+pairs as they have members.
 
 Cases: a document without words or text is linked with nothing and is its own component; with fewer than five words, the
 whole sequence is its one shingle; rows of equal ids are documents of their own, and the smallest id counts; null ids
-count for nothing as component ids unless all of a component are null; an empty table gives no rows; further columns are not read.
+count for nothing as component ids unless all of a component are null; ties of the order go by hash; a very long text is one row like
+any other, with a set as long as its words; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,13 +39,13 @@ CHUNK, OFTEN = 1 << 21, 3
 #: Shingles that the order knows as frequent, at most; it bears on speed alone.
 FREQUENT = 1 << 20
 ROUNDS = 2
-#: Buckets of the counts by which pairs are filtered before whole sets are read.
-BUCKETS = 256
+#: Bits of a parity at least; it has two for each shingle.
+LEAST_BITS = 256
 #: Bits of a filter at most: 8 MB.
 MOST_BITS = 1 << 26
 
 _COUNTED = pa.schema([("token", pa.int64()), ("n", pa.int64())])
-_PREFIXES = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
+_PREFIXES = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parity", pa.binary())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _SETS = pa.schema([("sid", pa.int64()), ("items", pa.binary())])
 
@@ -55,14 +59,23 @@ def set_id(items: np.ndarray) -> int:
         return int(_signed(common.mix64(np.array([np.bitwise_xor.reduce(common.mix64(items + np.uint64(77))) + common.mix64(items).sum(dtype=np.uint64) + np.uint64(len(items))])))[0])
 
 
-def counts_of(items: np.ndarray) -> bytes:
-    """How many shingles fall in each of BUCKETS buckets: two sets share no more than the sum of the smaller counts."""
-    n = np.bincount((items & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+def parity_of(items: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes: whether the set has an odd number of items there. Two sets of which the parities
+    differ in d bits differ in d items or more."""
+    bits = max(LEAST_BITS, 1 << (2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == BUCKETS else np.uint32)
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The same parity with fewer buckets, as 64-bit words."""
+    words = np.frombuffer(raw, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0)
+
+
+def most_apart(n: int, percent: int = PERCENT) -> int:
+    """By how many items two sets of n items together may differ to be linked."""
+    return n - 2 * -(-percent * n // (100 + percent))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -93,10 +106,10 @@ def _prefixes(frequent, percent: int):
         known, rank = frequent.value
         for batch in common.batches(rows):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = common.shingle_set(text)
                 if not len(s):
-                    out.append((doc_id, None, 0, None, [], None))
+                    out.append((doc_id, tie, None, 0, None, [], None))
                     continue
                 if len(known):
                     at = np.searchsorted(known, s).clip(max=len(known) - 1)
@@ -105,7 +118,7 @@ def _prefixes(frequent, percent: int):
                 else:
                     order = np.arange(len(s))
                 first = s[order[: prefix_length(len(s), percent)]]
-                out.append((doc_id, set_id(s), len(s), set_id(np.append(first, np.uint64(len(s)))), _signed(first), counts_of(s)))
+                out.append((doc_id, tie, set_id(s), len(s), set_id(np.append(first, np.uint64(len(s)))), _signed(first), parity_of(s)))
             yield common.arrow(_PREFIXES, **dict(zip(_PREFIXES.names, zip(*out, strict=True), strict=True)))
 
     return run
@@ -162,31 +175,30 @@ def _postings(bloom):
 def _sets(bloom):
     def run(rows):
         for batch in common.batches(rows):
-            keep = bloom.value.has(np.asarray(batch.column(0).fill_null(-1), np.int64))
+            keep = bloom.value.has(np.asarray(batch.column(0), np.int64))
             sets = [s for t, k in zip(batch.column(1).to_pylist(), keep, strict=True) if k and len(s := common.shingle_set(t))]
             yield common.arrow(_SETS, sid=[set_id(s) for s in sets], items=[s.tobytes() for s in sets])
 
     return run
 
 
-def named(rows):
-    """doc_id, a value and the set's id of each doc_id, text and value, of the texts with words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("sid", pa.int64())])
-    for batch in common.batches(rows):
-        of = [(i, set_id(s)) for i, t in enumerate(batch.column(1).to_pylist()) if len(s := common.shingle_set(t))]
-        at = pa.array([i for i, _ in of], pa.int64())
-        yield common.arrow(schema, doc_id=batch.column(0).take(at), tie=batch.column(2).take(at), sid=[x for _, x in of])
+def _folds(rows):
+    """sid and its parity in LEAST_BITS bits."""
+    schema = pa.schema([("sid", pa.int64()), *[(f"w{i}", pa.int64()) for i in range(LEAST_BITS // 64)]])
+    for batch in rows:
+        words = np.array([folded(raw, LEAST_BITS // 8) for raw in batch.column(1).to_pylist()], np.uint64).reshape(-1, LEAST_BITS // 64)
+        yield common.arrow(schema, sid=batch.column(0), **{f"w{i}": _signed(words[:, i]) for i in range(LEAST_BITS // 64)})
 
 
 def _possible(percent: int, rows):
-    """Pairs whose counts allow the overlap that a link needs."""
+    """Pairs whose parities allow the overlap that a link needs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in common.batches(rows):
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
+        a, b, n, x, y = (c.to_pylist() for c in batch.columns)
         keep = []
         for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = _counts(p), _counts(q)
-            if (100 + percent) * int(np.minimum(p, q).sum(dtype=np.int64)) >= percent * (int(p.sum(dtype=np.int64)) + int(q.sum(dtype=np.int64))):
+            size = min(len(p), len(q))
+            if int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()) <= most_apart(n[i], percent):
                 keep.append(i)
         yield common.arrow(schema, a=[a[i] for i in keep], b=[b[i] for i in keep])
 
@@ -204,64 +216,68 @@ def _verify(percent: int, rows):
 
 
 class Join:
-    """documents: doc_id, sid (null without words) and n, a row per document. links: verified pairs a, b of sids, which
-    connect what is connected. labels: node (sid) and label."""
-
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS):
-        spark, rows = docs.sparkSession, common.documents_of(docs)
-        self.percent = percent
+    """documents: doc_id, tie (a hash by which a row is found again; of id and text, or as given), sid (null without words) and n,
+    a row per document. links: verified pairs a, b of sids, which connect what is connected. labels: node (sid) and label."""
+
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, tie: Column | None = None):
+        spark = docs.sparkSession
+        id_, text = F.col("doc_id").cast("long"), F.col("text")
+        rows = docs.select(id_.alias("doc_id"), text.alias("text"), (F.xxhash64(id_, text) if tie is None else tie).alias("tie"))
+        self.rows, self.percent = rows, percent
         often = rows.select("text").mapInArrow(_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        often = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-        token = often["token"].to_numpy(np.int64).view(np.uint64)
+        often = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # FREQUENT shingles at most
+        token = often["token"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(token)
-        frequent = spark.sparkContext.broadcast((token[order], often["n"].to_numpy(np.int64)[order]))  # FREQUENT shingles at most
-        ddl = "doc_id long, sid long, n int, gid long, prefix array<long>, counts binary"
+        frequent = spark.sparkContext.broadcast((token[order], often["n"].to_numpy().astype(np.int64)[order]))
+        ddl = "doc_id long, tie long, sid long, n int, gid long, prefix array<long>, parity binary"
         prefixes = common.materialize(rows.mapInArrow(_prefixes(frequent, percent), ddl), "prefixes")
-        self.documents = prefixes.select("doc_id", "sid", "n")
-        members = common.materialize(prefixes.where("sid IS NOT NULL").groupBy("sid", "gid", "n").agg(F.min("doc_id").alias("doc_id"), F.first("counts").alias("counts")), "members")
-        self.rows, self.members = rows, members.select("sid", "doc_id")
-        self.counts = members.select("sid", "counts")
-        groups = members.groupBy("gid", "n").agg(F.count("*").alias("m"), F.min("sid").alias("rep"))
-        # A shingle forms a list when two groups have it; equal ones met in each task before the shuffle.
-        ends = prefixes.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
-        shared = common.materialize(ends.where("low <> high").select("token"), "shared")
+        frequent.destroy()
+        self.documents = prefixes.select("doc_id", "tie", "sid", "n")
+        # tie: of a row that stands for the member.
+        first = [F.min("tie").alias("tie"), F.first("parity").alias("parity")]
+        self.members = members = common.materialize(prefixes.where("sid IS NOT NULL").groupBy("sid", "gid", "n").agg(*first), "members")
+        # rest: what a set has from the shingle on. A shingle of two documents makes a pair at once; the others form lists.
+        places = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", (F.col("n") - F.col("pos")).alias("rest"))
+        ends = places.groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("low"), F.max("gid").alias("high"), F.sum("n").alias("sizes"), F.min("rest").alias("rest"))
+        ends = common.materialize(ends.where("low <> high"), "ends")
+        twos = ends.where((F.col("c") == 2) & ((100 + percent) * F.col("rest") >= percent * F.col("sizes"))).select("low", "high").distinct()
+        alone = members.select(F.col("gid").alias("low"), F.col("sid").alias("one"))
+        twos = twos.join(alone, "low").join(alone.select(F.col("low").alias("high"), F.col("one").alias("two")), "high")
+        twos = twos.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+        shared = ends.where("c > 2").select("token")
         bloom = spark.sparkContext.broadcast(Bloom(shared, "token"))
         postings = prefixes.select("gid", "n", "prefix").mapInArrow(_postings(bloom), "token long, gid long, n int, pos int").distinct().join(shared, "token", "left_semi")
-        # What two groups share before a shingle they share among these: seen counts them. A group with many is a good leader.
-        of = Window.partitionBy("gid")
-        postings = postings.withColumn("seen", F.row_number().over(of.orderBy("pos")) - 1).withColumn("weight", F.count("*").over(of).cast("int"))
-        # The members of one group, if it has several, are a list too.
-        zero = F.lit(0)
-        own = groups.where("m > 1").select(F.col("gid").alias("token"), "gid", "n", zero.alias("pos"), zero.alias("seen"), zero.alias("weight"))
-        lists = common.materialize(postings.join(groups.select("gid", "rep"), "gid").unionByName(own.withColumn("rep", F.lit(None).cast("long"))), "lists")
-        several = common.materialize(groups.where("m > 1").select("gid", "rep"), "several")
-        # A list's items are the first members of its groups; for the list of one group, all its members.
-        inner = members.join(several.select("gid"), "gid").select(F.col("gid").alias("token"), "sid", "n", *[zero.alias(c) for c in ("pos", "seen", "weight")])
-        items = common.materialize(lists.where("rep IS NOT NULL").select("token", F.col("rep").alias("sid"), "n", "pos", "seen", "weight").unionByName(inner), "items")
-        every = lists.where("rep IS NOT NULL").join(several.select("gid"), "gid").join(members.select("gid", "sid"), "gid").where("sid <> rep").select("token", "sid", "n", "pos", "seen", "weight")
-        self.all_items = items.unionByName(every)
+        groups = members.groupBy("gid", "n").agg(F.count("*").alias("m"), F.min("sid").alias("rep"))
+        # A list's items are the first members of its groups; the members of one group, if it has several, are a list too.
+        outer = common.materialize(postings.join(groups, ["gid", "n"]).select("token", "gid", F.col("rep").alias("sid"), "n", "pos", "m"), "lists")
+        bloom.destroy()
+        several = groups.where("m > 1").select("gid")
+        inner = members.join(several, "gid").select(F.col("gid").alias("token"), "sid", "n", F.lit(0).alias("pos"))
+        items = outer.select("token", "sid", "n", "pos").unionByName(inner)
+        every = outer.where("m > 1").withColumnRenamed("sid", "rep").join(members.select("gid", "sid"), "gid").where("sid <> rep").select("token", "sid", "n", "pos")
         self.links = self.labels = None
-        tried = None
+        tried, written = None, [ends, outer]
         for turn in range(rounds):
             pairs = self._to_leaders(items, turn)
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.unionByName(twos).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
             pairs = common.materialize(pairs, "pairs")
+            written.append(pairs)
             tried = pairs if tried is None else tried.unionByName(pairs)
             self._link(pairs)
-        pairs = common.materialize(self._left_over(self._labelled(self.all_items)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = common.materialize(self._left_over(items.unionByName(every)).join(tried, ["a", "b"], "left_anti"), "pairs")
         self._link(pairs)
+        common.drop(pairs, *written)
 
     def _labelled(self, items: DataFrame) -> DataFrame:
         named = self.labels.withColumnRenamed("node", "sid")
         return items.join(named, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
+    def _fits(self) -> Column:
+        """Whether two sets have enough of themselves from the shingle on."""
+        rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        return (F.col("sid") != F.col("sid2")) & ((100 + self.percent) * rest >= self.percent * (F.col("n") + F.col("n2")))
+
     def _pairs(self, joined: DataFrame) -> DataFrame:
-        """From rows with sid, n, pos, seen and sid2, n2, pos2, seen2: distinct pairs a < b that sizes and places allow."""
-        small, large = F.least("n", "n2"), F.greatest("n", "n2")
-        most = F.least("seen", "seen2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-        joined = joined.where((F.col("sid") != F.col("sid2")) & (100 * small >= self.percent * large))
-        joined = joined.where((100 + self.percent) * most >= self.percent * (F.col("n") + F.col("n2")))
         return joined.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
     def _to_leaders(self, items: DataFrame, turn: int) -> DataFrame:
@@ -269,32 +285,50 @@ class Join:
             items = self._labelled(items)
             open_ = items.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
             items = items.join(open_, "token", "left_semi")
-        # First the member with the most shared shingles in its prefix, so the fewest changes of its own; then any.
-        best = -F.col("weight") if turn == 0 else F.lit(0)
-        leader = F.min(F.struct(best, F.xxhash64("sid", F.lit(turn)), "sid", "n", "pos", "seen")).alias("l")
-        leaders = items.groupBy("token").agg(leader).select("token", *[F.col(f"l.{c}").alias(f"{c}2") for c in ("sid", "n", "pos", "seen")])
-        return self._pairs(items.join(leaders, "token"))
+        # First the member with the fewest rarer shingles, so the fewest changes of its own; then any.
+        best = F.col("pos") if turn == 0 else F.lit(0)
+        leader = F.min(F.struct(best.alias("best"), F.xxhash64("sid", F.lit(turn)).alias("any"), "sid", "n", "pos")).alias("l")
+        leaders = items.groupBy("token").agg(leader).select("token", *[F.col(f"l.{c}").alias(f"{c}2") for c in ("sid", "n", "pos")])
+        return self._pairs(items.join(leaders, "token").where(self._fits()))
 
     def _left_over(self, items: DataFrame) -> DataFrame:
-        """Members outside the largest component of their list with all members of other components."""
+        """Members outside the largest component of their list with members of other components."""
+        items = self._labelled(items)
         by = items.groupBy("token", "label").agg(F.count("*").alias("c"))
         main = by.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-        open_ = items.join(main, "token")
-        other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "seen", "label")])
-        return self._pairs(open_.where("label <> main").join(other, "token").where("label <> label2"))
+        open_ = common.materialize(items.join(main, "token"), "open")
+        words = [f"w{i}" for i in range(LEAST_BITS // 64)]
+        folds = self.members.select("sid", "parity").join(open_.select("sid").distinct(), "sid", "left_semi").mapInArrow(_folds, "sid long, " + ", ".join(f"{w} long" for w in words))
+        open_ = common.materialize(open_.join(folds, "sid"), "folds")
+        # The smaller set of a pair has the shingle in its first ones: so many that the overlap with an equal size is left.
+        small = open_.where((100 + self.percent) * (F.col("n") - F.col("pos")) >= 2 * self.percent * F.col("n"))
+        large = lambda df: df.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "label", *words)])
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
+        sizes = F.col("n") + F.col("n2")
+        near = apart <= sizes - 2 * F.ceil(self.percent * sizes / (100 + self.percent))
+        meet = (F.col("label") != F.col("label2")) & (F.col("n") <= F.col("n2")) & self._fits() & near
+        met = small.where("label <> main").join(large(open_), "token").where(meet)
+        met = met.select("sid", "sid2").unionByName(small.where("label = main").join(large(open_.where("label <> main")), "token").where(meet).select("sid", "sid2"))
+        return self._pairs(met)
 
     def _link(self, pairs: DataFrame) -> None:
-        """Verifies pairs: by their counts, and then on whole sets, which are made anew for those that are left."""
-        side = lambda df, c, v, n: df.select(F.col("sid").alias(c), F.col(v).alias(n))
-        near = pairs.join(side(self.counts, "a", "counts", "x"), "a").join(side(self.counts, "b", "counts", "y"), "b").select("a", "b", "x", "y")
+        """Verifies pairs: by their parities, and then on whole sets, which are made anew for those that are left."""
+        side = lambda df, by, c, *names: df.select(F.col("sid").alias(by), *[F.col(x).alias(y) for x, y in zip(c, names, strict=True)])
+        known = self.members.select("sid", "n", "parity")
+        near = pairs.join(side(known, "a", ("n", "parity"), "n1", "x"), "a").join(side(known, "b", ("n", "parity"), "n2", "y"), "b").select("a", "b", F.col("n1") + F.col("n2"), "x", "y")
         near = common.materialize(near.mapInArrow(partial(_possible, self.percent), "a long, b long"), "near")
         sids = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        # One document stands for all with its set; what the filter lets through besides does no harm.
-        chosen = self.rows.sparkSession.sparkContext.broadcast(Bloom(common.materialize(self.members.join(sids, "sid", "left_semi"), "chosen"), "doc_id"))
-        sets = common.materialize(self.rows.mapInArrow(_sets(chosen), "sid long, items binary"), "sets")
-        found = near.join(side(sets, "a", "items", "x"), "a").join(side(sets, "b", "items", "y"), "b").select("a", "b", "x", "y")
-        found = common.materialize(found.mapInArrow(partial(_verify, self.percent), "a long, b long").distinct(), "found")
+        # One row stands for all with its set; what the filter lets through besides does no harm.
+        chosen = common.materialize(self.members.join(sids, "sid", "left_semi").select("tie"), "chosen")
+        wanted = self.rows.sparkSession.sparkContext.broadcast(Bloom(chosen, "tie"))
+        sets = common.materialize(self.rows.select("tie", "text").mapInArrow(_sets(wanted), "sid long, items binary").dropDuplicates(["sid"]), "sets")
+        wanted.destroy()
+        found = near.join(side(sets, "a", ("items",), "x"), "a").join(side(sets, "b", ("items",), "y"), "b").select("a", "b", "x", "y")
+        found = common.materialize(found.mapInArrow(partial(_verify, self.percent), "a long, b long"), "found")
+        common.drop(near, chosen, sets)
         self.links = found if self.links is None else self.links.unionByName(found)
+        if self.labels is not None:
+            common.drop(self.labels)
         self.labels = components(self.links)
 
     def classes(self) -> DataFrame:
