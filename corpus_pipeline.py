@@ -21,11 +21,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the Jaccard join one row stays: that of the smallest id (null ids come last), then of the smallest
     hash. What has no words stays too."""
-    join = jaccard.Join(docs)
     tie = F.xxhash64(*docs.columns)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", tie.alias("tie")).mapInArrow(jaccard.named, "doc_id long, tie long, sid long")
+    join = jaccard.Join(docs, tie=tie)
     labels = join.labels.withColumnRenamed("node", "sid")
-    rows = rows.join(labels, "sid", "left").groupBy(F.coalesce("label", "sid").alias("label"))
+    rows = join.documents.where("sid IS NOT NULL").join(labels, "sid", "left").groupBy(F.coalesce("label", "sid").alias("label"))
     first = rows.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_first"))
     first = common.materialize(first, "first")
     words = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD)
