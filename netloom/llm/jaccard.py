@@ -41,8 +41,8 @@ FREQUENT = 1 << 20
 ROUNDS = 2
 #: Bits of a parity at least; it has two for each shingle.
 LEAST_BITS = 256
-#: Bits of a filter at most: 8 MB.
-MOST_BITS = 1 << 26
+#: Bits of a filter at most: 32 MB. Beyond some 40 million keys it lets ever more strangers through, which later joins drop.
+MOST_BITS = 1 << 28
 
 _COUNTED = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 _PREFIXES = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parity", pa.binary())])
