@@ -54,12 +54,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that materialize() has written, once nothing reads them any more; the rest goes at exit."""
+    """Deletes tables that materialize() has written, once nothing reads them any more; the rest goes at exit. Shuffle files of ended jobs
+    go when the driver's JVM collects its garbage, so that is asked for too."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             for known in [k for k in _written if k[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
                 _written.remove(known)
                 _delete(*known)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
