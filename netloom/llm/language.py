@@ -127,7 +127,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     open_ = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold != FOLD)).select("doc_id", "text", "lang")
     share = min(1.0, sample / max(1, docs.where(F.col("lang").isNotNull() & (fold != FOLD)).select("doc_id").count()))
-    some = open_.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = open_.where(F.xxhash64("doc_id", F.lit("language")) < int((2 * share - 1) * 2.0**62) * 2) if share < 1 else open_
     counts = some.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rank", first).where(F.col("rank") <= vocabulary).select("lang", "word", "n").limit(vocabulary * MOST_LANGUAGES + 1).collect()

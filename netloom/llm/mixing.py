@@ -190,8 +190,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     runs = placed.groupBy("src", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("_runs"))
     known = mix.documents.where("size > 0").select("src", "start", "tie", F.col("size").alias("_size"))
     runs = known.join(runs.hint("merge"), ["src", "start"]).select("tie", "_size", "_runs")
-    names = docs.columns
-    one = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
+    # The input's row stays apart in a struct, so its columns may have any names.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = docs.select(row, F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("tie"))
     if one.groupBy("tie").count().where("count > 1").select("tie").take(1):  # only then do whole rows have to be compared
         one = one.dropDuplicates(["tie"])
     out = one.join(runs.hint("merge"), "tie")
@@ -200,6 +201,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = out.withColumn("_words", F.when(~whole, words))
     taken = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, cast(r.first_word + 1 AS int), cast(r.end_word - r.first_word AS int)))), ' ')")
     out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(taken))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -11,7 +11,8 @@ size costs no more than k + 1 rows.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id;
 vectors meet those of their length only; rows with the query's id are its own; with fewer candidates than k all come;
-an empty table gives no rows; further columns are not read.
+an empty table gives no rows; further columns are not read. Rows
+that repeat both id and vector count once. A very long vector is one row like any other; ties go to the smaller id.
 """
 
 from __future__ import annotations

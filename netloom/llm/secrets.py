@@ -131,15 +131,17 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by the mark; overlapping spans become one."""
-    names = docs.columns
-    df = scan(docs, text_col)
+    # The input's row stays apart in a struct, so its columns may have any names.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    df = scan(docs.select(row, F.col(f"`{text_col}`").alias("text")), "text")
     out = F.expr(f"""
         aggregate(_spans, named_struct('at', 0L, 'out', ''),
           (a, m) -> named_struct(
             'at', greatest(a.at, m.stop),
-            'out', CASE WHEN m.start >= a.at THEN concat(a.out, substring(`{text_col}`, cast(a.at + 1 AS int), cast(m.start - a.at AS int)), '{mark}') ELSE a.out END),
-          a -> concat(a.out, substring(`{text_col}`, cast(a.at + 1 AS int))))""")
-    return df.withColumn(text_col, F.when(F.size("_spans") > 0, out).otherwise(F.col(text_col))).select(*names)
+            'out', CASE WHEN m.start >= a.at THEN concat(a.out, substring(text, cast(a.at + 1 AS int), cast(m.start - a.at AS int)), '{mark}') ELSE a.out END),
+          a -> concat(a.out, substring(text, cast(a.at + 1 AS int))))""")
+    out = F.when(F.size("_spans") > 0, out).otherwise(F.col("text"))
+    return df.select(*[(out if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,20 @@ def test_edge_rows(spark):
     assert [n for n, _ in cp.STAGES] == ["language", "near duplicates", "secrets", "mixing", "packing"]
 
 
+def test_columns_of_any_names(spark):
+    """Columns named like internal ones come back as they were, whichever stage a row passes."""
+    long = "the cat and the dog sat by the house " * 3000
+    rows = [(1, "the cat sat on the mat today", "en", "a", 5), (2, long, "en", "a", 5), (3, "token=abcdefgh is the end of it", "en", None, 3)]
+    names = ("tie", "_words", "_text", "_spans", "_runs", "_size", "row", "src", "start", "label", "sid", "a.b")
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for stage in (cp.one_of_each, cp.without_secrets, cp.mixed):
+        step = common.materialize(stage(spark, docs, SF), "names")
+        assert step.columns == docs.columns
+        got = step.collect()
+        assert {r.doc_id for r in got} == {1, 2, 3}
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
 def test_one_row_of_each_component(spark):
     """Unlike documents under null ids or one id stay; of near duplicates one stays, whatever their ids."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
