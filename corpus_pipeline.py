@@ -1,4 +1,9 @@
-"""A pipeline over documents: language ID, one document of each near-duplicate group, secrets out, the mix, packing."""
+"""A pipeline over documents: language ID, one document of each near-duplicate group, secrets out, the mix, packing.
+
+Cases, in every stage: a null text has no language and goes at the first stage, as do texts without letters; null sources are a source of
+their own; null ids are ids like others, and rows of equal ids are documents of their own; rows that are equal in all
+columns are near duplicates if they have words; very long texts are single rows; ties go to the smallest id, then to the smallest hash of the
+row; empty tables give empty ones; further columns of any names are carried along unread, up to the packed result."""
 
 from __future__ import annotations
 
@@ -21,16 +26,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the Jaccard join one row stays: that of the smallest id (null ids come last), then of the smallest
     hash. What has no words stays too."""
-    tie = F.xxhash64(*docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    tie = F.xxhash64(*names)
     join = jaccard.Join(docs, tie=tie)
     labels = join.labels.withColumnRenamed("node", "sid")
     rows = join.documents.where("sid IS NOT NULL").join(labels, "sid", "left").groupBy(F.coalesce("label", "sid").alias("label"))
     first = rows.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_first"))
     first = common.materialize(first, "first")
     words = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD)
-    kept = docs.where(words).withColumn("_tie", tie)
-    same = (F.col("_tie") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = kept.join(first.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_tie"]).select(*docs.columns)
+    kept = docs.where(words).select(F.struct(*names).alias("row"), F.col("doc_id").alias("doc_id"), tie.alias("tie"))
+    same = (kept["tie"] == F.col("_first")) & kept["doc_id"].eqNullSafe(F.col("_id"))
+    kept = kept.join(first.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "tie"])
+    kept = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     return kept.unionByName(docs.where(~words))
 
 
