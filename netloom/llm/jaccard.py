@@ -38,7 +38,7 @@ PERCENT = 75
 CHUNK, OFTEN = 1 << 21, 3
 #: Shingles that the order knows as frequent, at most; it bears on speed alone.
 FREQUENT = 1 << 20
-ROUNDS = 2
+ROUNDS = 1
 #: Bits of a parity at least; it has two for each shingle.
 LEAST_BITS = 256
 #: Bits of a filter at most: 32 MB. Beyond some 40 million keys it lets ever more strangers through, which later joins drop.
