@@ -480,3 +480,6 @@ def stability_lines(spark, sf_dir):
     before = e.select("problem_id", "edge_id", (F.col("upper") + 20.0).alias("width"))
     dirty = e.where("edge_id % 3 = 0").select("problem_id", "edge_id")
     return graph.widths_stable(before, e.select("problem_id", "edge_id", F.col("upper").cast("double").alias("width")), dirty, 0.5)
+
+
+from . import solver_queries  # noqa: E402, F401  adds its own
