@@ -33,62 +33,155 @@ class Residual:
         return i
 
 
+class Bundles:
+    """Parallel arcs, cheapest first, as one: only the cheapest that has room and the dearest that has flow are residual arcs. Bundle b goes from
+    tail[b] to head[b]; its arcs before at[b] are full, and that one holds held[b]. Residual arc 2 b goes ahead, 2 b + 1 back."""
+
+    def __init__(self, n: int, src, dst, cap, cost):
+        self.out, self.tail, self.head, self.edges = [[] for _ in range(n)], [], [], []
+        places: dict[tuple[int, int], int] = {}
+        for e, (u, v, c) in enumerate(zip(src, dst, cap, strict=True)):
+            if c > 0 and u != v:
+                b = places.setdefault((u, v), len(self.tail))
+                if b == len(self.tail):
+                    self.tail.append(u)
+                    self.head.append(v)
+                    self.edges.append([])
+                    self.out[u].append(2 * b)
+                    self.out[v].append(2 * b + 1)
+                self.edges[b].append(e)
+        for own in self.edges:
+            own.sort(key=lambda e: cost[e])
+        self.caps, self.costs = [[cap[e] for e in own] for own in self.edges], [[cost[e] for e in own] for own in self.edges]
+        self.at, self.held = [0] * len(self.edges), [0] * len(self.edges)
+
+    def arc(self, i: int) -> tuple[int, int]:
+        """Room and cost of a residual arc."""
+        b, at = i >> 1, self.at[i >> 1]
+        if not i & 1:
+            return (self.caps[b][at] - self.held[b], self.costs[b][at]) if at < len(self.caps[b]) else (0, 0)
+        if self.held[b]:
+            return self.held[b], -self.costs[b][at]
+        return (self.caps[b][at - 1], -self.costs[b][at - 1]) if at else (0, 0)
+
+    def to(self, i: int) -> int:
+        return self.tail[i >> 1] if i & 1 else self.head[i >> 1]
+
+    def push(self, i: int, x: int) -> None:
+        """x is at most the arc's room."""
+        b = i >> 1
+        if not i & 1:
+            self.held[b] += x
+            if self.held[b] == self.caps[b][self.at[b]]:
+                self.at[b], self.held[b] = self.at[b] + 1, 0
+        elif self.held[b]:
+            self.held[b] -= x
+        else:
+            self.at[b] -= 1
+            self.held[b] = self.caps[b][self.at[b]] - x
+
+    def flows(self, flow: list[int]) -> None:
+        """Adds what the arcs hold to the flow of their edges."""
+        for own, caps, at, held in zip(self.edges, self.caps, self.at, self.held, strict=True):
+            for e, c in zip(own[:at], caps[:at], strict=True):
+                flow[e] += c
+            if held:
+                flow[own[at]] += held
+
+
+def _distances(g: Bundles, n: int, excess: list[int], pi: list[int]) -> list | None:
+    """Shortest distances under potentials from all nodes in excess, none if nothing that lacks is reached; beyond the last of these that is
+    reached, its distance."""
+    dist: list = [None] * n
+    heap, settled, far = [(0, v) for v in range(n) if excess[v] > 0], [False] * n, None
+    for _, v in heap:
+        dist[v] = 0
+    left = sum(e < 0 for e in excess)
+    while heap and left:
+        d, u = heapq.heappop(heap)
+        if settled[u]:
+            continue
+        settled[u] = True
+        if excess[u] < 0:
+            far, left = d, left - 1
+        base = d + pi[u]
+        for i in g.out[u]:
+            room, cost = g.arc(i)
+            if room:
+                v = g.to(i)
+                new = base + cost - pi[v]
+                if not settled[v] and (dist[v] is None or new < dist[v]):
+                    dist[v] = new
+                    heapq.heappush(heap, (new, v))
+    return None if far is None else [dist[v] if settled[v] and dist[v] < far else far for v in range(n)]
+
+
+def _push_all(g: Bundles, n: int, excess: list[int], pi: list[int], pushed) -> None:
+    """Sends what is in excess along arcs of reduced cost 0 until no path of such arcs is left; pushed is called for each."""
+    turn, dead = [0] * n, [False] * n
+    for s in range(n):
+        while excess[s] > 0 and not dead[s]:
+            path, on, u = [], {s}, s
+            while excess[u] >= 0:
+                while turn[u] < len(g.out[u]):
+                    i = g.out[u][turn[u]]
+                    room, cost = g.arc(i)
+                    v = g.to(i)
+                    if room and cost + pi[u] - pi[v] == 0 and not dead[v] and v not in on:
+                        break
+                    turn[u] += 1
+                if turn[u] < len(g.out[u]):
+                    path.append(i)
+                    on.add(v)
+                    u = v
+                else:
+                    dead[u] = True
+                    if not path:
+                        break
+                    on.discard(u)
+                    u = g.to(path.pop() ^ 1)
+            if excess[u] < 0:
+                x = min(excess[s], -excess[u], *[g.arc(i)[0] for i in path])
+                for i in path:
+                    g.push(i, x)
+                excess[s] -= x
+                excess[u] += x
+                pushed()
+
+
 def min_cost_flow(n, src, dst, lower, upper, cost, demand, max_augmentations=None, deadline=None):
     """Flow of each edge and a potential of each node; cost + potential[src] - potential[dst] is at least 0 on residual arcs.
 
-    Lower bounds go into the demands, arcs of negative cost are filled first, so that no residual arc is negative, and what
-    is then in excess goes along shortest paths, by Dijkstra under potentials, to where it lacks."""
-    g, base, excess = Residual(n), [], [-int(d) for d in demand]
+    Lower bounds go into the demands, arcs of negative cost are filled first, so that no residual arc is negative. Then phases of
+    Dijkstra under potentials, after each of which all that is in excess goes along shortest paths to where it lacks, as far as these
+    have room."""
+    base, excess = [], [-int(d) for d in demand]
     for u, v, lo, up, c in zip(src, dst, lower, upper, cost, strict=True):
-        fill = up - lo if c < 0 else 0
-        i = g.add(u, v, up - lo - fill, c)
-        g.cap[i + 1] = fill
-        base.append(lo)
-        excess[u] -= lo + fill
-        excess[v] += lo + fill
+        base.append(up if c < 0 else lo)
+        excess[u] -= base[-1]
+        excess[v] += base[-1]
+    # An arc of negative cost stands the other way round: what it sends back is taken from its fill.
+    turned = [c < 0 for c in cost]
+    g = Bundles(n, [v if t else u for u, v, t in zip(src, dst, turned, strict=True)], [u if t else v for u, v, t in zip(src, dst, turned, strict=True)], [up - lo for lo, up in zip(lower, upper, strict=True)], [abs(c) for c in cost])
     pi, rounds = [0] * n, 0
-    while any(e > 0 for e in excess):
+
+    def pushed():
+        nonlocal rounds
         rounds += 1
         if max_augmentations is not None and rounds > max_augmentations or deadline and time.monotonic() > deadline:
             raise Limit
-        dist, came = [None] * n, [-1] * n
-        heap = [(0, v) for v in range(n) if excess[v] > 0]
-        for _, v in heap:
-            dist[v] = 0
-        heapq.heapify(heap)
-        settled, target = set(), -1
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u in settled:
-                continue
-            settled.add(u)
-            if excess[u] < 0:
-                target = u
-                break
-            for i in g.out[u]:
-                if g.cap[i]:
-                    v = g.to[i]
-                    new = d + g.cost[i] + pi[u] - pi[v]
-                    if v not in settled and (dist[v] is None or new < dist[v]):
-                        dist[v], came[v] = new, i
-                        heapq.heappush(heap, (new, v))
-        if target < 0:
+
+    while any(e > 0 for e in excess):
+        dist = _distances(g, n, excess, pi)
+        if dist is None:
             raise Infeasible
-        for v in range(n):
-            pi[v] += dist[v] if v in settled else dist[target]
-        path, v = [], target
-        while came[v] >= 0:
-            path.append(came[v])
-            v = g.to[came[v] ^ 1]
-        push = min([excess[v], -excess[target]] + [g.cap[i] for i in path])
-        for i in path:
-            g.cap[i] -= push
-            g.cap[i ^ 1] += push
-        excess[v] -= push
-        excess[target] += push
+        pi = [p + d for p, d in zip(pi, dist, strict=True)]
+        _push_all(g, n, excess, pi, pushed)
     if any(excess):
         raise Infeasible
-    return [b + g.cap[2 * k + 1] for k, b in enumerate(base)], pi
+    moved = [0] * len(base)
+    g.flows(moved)
+    return [b - m if t else b + m for b, m, t in zip(base, moved, turned, strict=True)], pi
 
 
 def max_flow(n, src, dst, cap, s, t, undirected=False):
