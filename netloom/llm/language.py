@@ -29,7 +29,7 @@ MOST_LANGUAGES = 1_000
 LONGEST = 5
 #: Folds by crc32 of the id as text; FOLD 0 is held out.
 FOLDS, FOLD = 5, 0
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 _COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])

@@ -155,6 +155,7 @@ def _tokenize(path: str):
             ids = [tokenizer(t or "") + final for t in batch.column(1).to_pylist()]
             arrays = [np.frombuffer(x, "<u2") for x in ids]
             yield common.arrow(_TOKENS, doc_id=batch.column(0), ids=ids, n=[len(a) for a in arrays], curve=curve_keys(arrays), tie=batch.column(2))
+        tokenizer.seen = {"": b""}  # a worker lives on, and others need its memory
 
     return run
 
