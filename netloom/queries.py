@@ -212,17 +212,6 @@ def fundamental_cycle_lengths(spark, sf_dir):
     return graph.cycle_scores(graph.cycles(graph.rooted(nodes, forest), e), values).select("edge_id", _long("length"))
 
 
-COMPONENTS = f"""WITH RECURSIVE x AS (SELECT DISTINCT l_suppkey AS s, 1000000 + l_partkey AS p FROM lineitem WHERE l_quantity <= 2 AND l_discount < 0.02),
-e AS (SELECT s AS a, p AS b FROM x UNION SELECT p, s FROM x), r AS (SELECT a, a AS hit FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.hit)"""
-
-
-@query(f"{COMPONENTS} SELECT a AS node_id, min(hit) AS component FROM r GROUP BY a")
-def components_small_lines(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "lineitem").where("l_quantity <= 2 AND l_discount < 0.02").select(F.lit("0").alias("problem_id"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
-    nodes = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    return graph.connected(nodes, e).select("node_id", "component")
-
-
 # Each round keeps, by node, the least label known so far, so that the recursion takes as many rounds as the graph is wide.
 LINES_COMPONENTS = """WITH RECURSIVE x AS MATERIALIZED (SELECT DISTINCT l_suppkey AS s, 1000000 + l_partkey AS p FROM lineitem),
 e AS MATERIALIZED (SELECT s AS a, p AS b FROM x UNION SELECT p, s FROM x),
@@ -365,13 +354,13 @@ def gcd_scaled(spark, sf_dir):
     return rewrite.gcd_scale(nodes, e)
 
 
-@query(f"WITH {E} SELECT problem_id, 'lower above upper' AS rule, count(*) AS n FROM e WHERE edge_id % 100 = 7 GROUP BY 1 UNION ALL SELECT problem_id, 'no finite capacity', count(*) FROM e WHERE edge_id % 100 = 9 GROUP BY 1")
+@query(f"WITH {E} SELECT problem_id, 'lower above upper' AS rule, count(*) AS n FROM e WHERE edge_id % 100 = 7 GROUP BY 1 UNION ALL SELECT problem_id, 'no finite capacity', count(*) FROM e WHERE edge_id % 100 = 9 GROUP BY 1 UNION ALL SELECT problem_id, 'duplicate edge', count(*) FROM (SELECT problem_id, edge_id FROM e GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
 def violations_found(spark, sf_dir):
     e = tables.line_edges(spark, sf_dir)
     nodes = _line_nodes(e)
     k = F.col("edge_id") % 100
     bad = e.withColumn("lower", F.when(k == 7, F.col("upper") + 1).otherwise(F.col("lower"))).withColumn("upper", F.when(k == 9, F.lit(None)).otherwise(F.col("upper")))
-    found = problem.violations(nodes, bad).where("rule NOT LIKE 'duplicate%'")
+    found = problem.violations(nodes, bad)
     return found.groupBy("problem_id", "rule").agg(F.count("*").alias("n"))
 
 
@@ -402,9 +391,9 @@ def norms_lines(spark, sf_dir):
     return numerics.norms(tables.line_edges(spark, sf_dir), "cost", "flow").select("problem_id", _long("dot"), _long("l1"), F.round("l2", 6).alias("l2"))
 
 
-@query(f"{FLOWED} SELECT problem_id, min(CASE WHEN cost > 0 THEN up / cost ELSE down / -cost END) AS step FROM g WHERE up > 0 AND down > 0 GROUP BY 1")
+@query(f"{FLOWED} SELECT problem_id, min(CASE WHEN cost > 0 THEN up / cost ELSE down / -cost END) AS step FROM g GROUP BY 1")
 def longest_step_lines(spark, sf_dir):
-    e = tables.line_edges(spark, sf_dir).where("flow < upper AND flow > lower").withColumn("delta", F.col("cost").cast("double"))
+    e = tables.line_edges(spark, sf_dir).withColumn("delta", F.col("cost").cast("double"))
     return numerics.longest_step(e)
 
 

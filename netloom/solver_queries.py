@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .functions import telemetry
 from .functions.numerics import Clamps, barrier_term, guarded_inverse, guarded_log, guarded_pow
-from .operators import descent
+from .operators import descent, graph, spanner
 from .plans import rewrite
-from .queries import DAYS, FLOWED, LANES, E, _long, query
+from .queries import DAYS, FLOWED, LANES, E, _long, _region_tree, query
 from .sources import tables
 
 CLAMPS = Clamps(least_residual=2.0, most_barrier=0.25, most_gradient=0.05)
@@ -232,3 +232,51 @@ def inside_lines(spark, sf_dir):
     kept = rewrite.clamped_flow(e, 1.0).select("problem_id", "edge_id", "moved")
     middle = rewrite.midpoints(e).withColumnRenamed("flow", "middle")
     return middle.join(kept, ["problem_id", "edge_id"]).groupBy("problem_id").agg(F.count("*").alias("edges"), F.sum(2 * F.col("middle")).cast("bigint").alias("doubled"), F.count_if("moved").alias("moved"))
+
+
+#: Suppliers and parts whose number divides by 7 are centers.
+CLUSTERS = f"""{E}, b AS (SELECT problem_id, edge_id, src AS x, dst AS y FROM e UNION ALL SELECT problem_id, edge_id, dst, src FROM e),
+n AS (SELECT DISTINCT problem_id, x AS node_id FROM b),
+j AS (SELECT problem_id, x AS node_id, arg_min(y, (y, edge_id)) AS cluster, arg_min(edge_id, (y, edge_id)) AS edge_id FROM b WHERE y % 7 = 0 GROUP BY 1, 2),
+c AS (SELECT n.problem_id, n.node_id, CASE WHEN n.node_id % 7 = 0 OR j.cluster IS NULL THEN n.node_id ELSE j.cluster END AS cluster, CASE WHEN n.node_id % 7 <> 0 THEN j.edge_id END AS edge_id FROM n LEFT JOIN j USING (problem_id, node_id))"""
+
+
+def _clusters(spark, sf_dir):
+    e = tables.line_edges(spark, sf_dir)
+    centers = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct().where("node_id % 7 = 0")
+    return e, spanner.clusters(e, centers)
+
+
+@query(f"WITH {CLUSTERS} SELECT problem_id, node_id, cluster, edge_id FROM c")
+def clusters_lines(spark, sf_dir):
+    return _clusters(spark, sf_dir)[1]
+
+
+@query(f"WITH {CLUSTERS}, l AS (SELECT b.problem_id, min(b.edge_id) AS edge_id FROM b JOIN c p ON p.problem_id = b.problem_id AND p.node_id = b.x JOIN c q ON q.problem_id = b.problem_id AND q.node_id = b.y WHERE p.cluster <> q.cluster GROUP BY b.problem_id, b.x, q.cluster) SELECT problem_id, edge_id FROM c WHERE edge_id IS NOT NULL UNION SELECT problem_id, edge_id FROM l")
+def cluster_spanner_lines(spark, sf_dir):
+    return spanner.cluster_spanner(*_clusters(spark, sf_dir))
+
+
+@query(f"WITH {CLUSTERS}, k AS (SELECT e.problem_id, least(p.cluster, q.cluster) AS u, greatest(p.cluster, q.cluster) AS v, min(upper) AS length FROM e JOIN c p ON p.problem_id = e.problem_id AND p.node_id = e.src JOIN c q ON q.problem_id = e.problem_id AND q.node_id = e.dst WHERE p.cluster <> q.cluster GROUP BY 1, 2, 3) SELECT problem_id, count(*) AS edges, CAST(sum(length) AS BIGINT) AS lengths FROM k GROUP BY 1")
+def cluster_graph_lines(spark, sf_dir):
+    e, found = _clusters(spark, sf_dir)
+    return spanner.next_level(e.withColumn("length", F.col("upper")), found).groupBy("problem_id").agg(F.count("*").alias("edges"), F.sum("length").alias("lengths"))
+
+
+@query(f"WITH {CLUSTERS} SELECT e.problem_id, count(*) AS edges, CAST(sum(CASE WHEN p.edge_id IS NULL THEN 0 ELSE 1 END + CASE WHEN q.edge_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS steps FROM e JOIN c p ON p.problem_id = e.problem_id AND p.node_id = e.src JOIN c q ON q.problem_id = e.problem_id AND q.node_id = e.dst WHERE p.cluster = q.cluster GROUP BY 1")
+def cluster_steps_lines(spark, sf_dir):
+    e, found = _clusters(spark, sf_dir)
+    return spanner.steps(found, e).groupBy("problem_id").agg(F.count("*").alias("edges"), F.sum("within").alias("steps"))
+
+
+@query(f"WITH {E} SELECT problem_id, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY edge_id) AS k FROM e) WHERE k <= 50")
+def pruned_lines(spark, sf_dir):
+    return spanner.pruned(tables.line_edges(spark, sf_dir), 50).select("problem_id", "edge_id")
+
+
+@query("SELECT CAST(4 AS BIGINT) AS edges, CAST(1 AS BIGINT) AS components FROM (SELECT count(DISTINCT n_regionkey) AS n FROM nation) WHERE n = 5")
+def random_forest_regions(spark, sf_dir):
+    nodes, e, _ = _region_tree(spark, sf_dir)
+    forest = spanner.random_forest(nodes, e, 7)
+    parts = graph.connected(nodes, forest)
+    return forest.agg(F.count("*").alias("edges")).crossJoin(parts.agg(F.count_distinct("component").alias("components")))
