@@ -11,8 +11,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines share; a folder of our own where it is unset."""
+    """spark.checkpoint.dir, which all machines share; where it is unset and all is one machine, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (base or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="netloom-"))).rstrip("/")
 
 
