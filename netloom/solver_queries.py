@@ -114,7 +114,7 @@ ROUNDS = "r AS (SELECT event_type AS problem_id, row_number() OVER (PARTITION BY
 
 def _rounds(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events")
-    return e.selectExpr("event_type AS problem_id", "row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS t", "value >= 20 AS won", "CAST(value AS DOUBLE) AS amount")
+    return e.selectExpr("event_type AS problem_id", "CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS t", "value >= 20 AS won", "CAST(value AS DOUBLE) AS amount")
 
 
 GAME = telemetry.Game(1000, 5000, 3)
