@@ -137,8 +137,12 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(value), start, end
 
 
+def lowered_bytes(raw: bytes) -> np.ndarray:
+    return _LOWER[np.frombuffer(raw, np.uint8)]
+
+
 def lowered(text: str) -> np.ndarray:
-    return _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    return lowered_bytes(text.encode("utf-8", "surrogatepass"))
 
 
 def shingles_of(words: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
