@@ -6,8 +6,8 @@ the pages again. Each record is a gzip member of its own. Spark's text writer pu
 empty gzip member as the line separator, so that files can be in any store that Spark writes to and are valid
 throughout.
 
-Reading: a member must inflate with the right CRC and its record must have a version line, a length that fits and, for
-responses, payload bytes that match the digest. After a failed check the reader searches for the next gzip magic or
+Reading: a member must inflate with the right CRC and its record, of any kind, must have a version line, a length that fits and, where
+they are given as SHA-1, digests that match its block and, for responses and resources, its payload. After a failed check the reader searches for the next gzip magic or
 version line from which a whole record can be read, goes on there, and logs the bytes between as a quarantined gap.
 
 Cases: a null payload is empty; rows that repeat the largest id of equal payloads are each a response; an empty table
@@ -96,9 +96,16 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | str:
 
 
 _HEADER = re.compile(rb"WARC/\d\.\d\r\n((?:[^\r\n]+\r\n)*)\r\n")
+#: A digest that can be checked here; others are taken as they are.
+_SHA1 = re.compile(r"(?:sha1:)?([A-Z2-7]{32})", re.I)
 _ID = re.compile(r"<urn:page:(-?\d*)>")
 
 
+def _fits(data: bytes, said: str | None) -> bool:
+    known = _SHA1.fullmatch(said or "")
+    return not known or digest(data) == known[1].upper()
+
+
 def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict, int] | str:
     """The record whose version line is at this byte and the byte after it, or what failed."""
     head = _HEADER.match(raw, at)
@@ -109,14 +116,18 @@ def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict, int] | str:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
     size, kind = fields.get("content-length", ""), fields.get("warc-type")
-    if not size.isdigit() or kind not in ("response", "revisit"):
+    if not size.isdigit() or not kind:
         return "no length or kind"
     start = head.end()
     end = start + int(size)
     if bytes(raw[end : end + 4]) != b"\r\n\r\n":
         return "the length doesn't fit"
-    block, said = bytes(raw[start:end]), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and digest(block) != said:
+    block, said = bytes(raw[start:end]), fields.get("warc-payload-digest")
+    if not _fits(block, fields.get("warc-block-digest")):
+        return "the block doesn't match its digest"
+    # A payload is the block, or what follows the headers of an HTTP message in it. A revisit has none here.
+    _, gap, body = block.partition(b"\r\n\r\n")
+    if kind in ("response", "resource") and not _fits(block, said) and not (gap and _fits(body, said)):
         return "the payload doesn't match its digest"
     number = lambda x: int(m[1]) if (m := _ID.fullmatch(x or "")) and m[1] else None
     full = fields.get("warc-payload-length", "")
@@ -125,7 +136,7 @@ def _parse(raw: bytes | memoryview, at: int = 0) -> tuple[dict, int] | str:
         "url": fields.get("warc-target-uri"),
         "record_type": kind,
         "payload_bytes": int(full) if full.isdigit() else len(block),
-        "payload_digest": said,
+        "payload_digest": digest(block) if said is None else said.removeprefix("sha1:"),
         "refers_to": number(fields.get("warc-refers-to")),
         "payload": block,
     }, end + 4

@@ -94,3 +94,27 @@ def test_sql_agrees(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     want = sorted(map(tuple, con.execute(warc.WARC_SQL).fetchall()), key=str)
     assert sorted(map(tuple, warc.op3_warc(spark, d).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == want
+
+
+def test_records_of_other_writers():
+    """Any kind is recovered; a digest is held against the block, or what follows the HTTP headers in it, only where one is given."""
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+    cases = [
+        ("warcinfo", b"software: x\r\n", {}, True),
+        ("request", b"GET / HTTP/1.1\r\n\r\n", {"WARC-Payload-Digest": "sha1:" + warc.digest(b"other")}, True),
+        ("response", body, {}, True),
+        ("response", body, {"WARC-Payload-Digest": "sha1:" + warc.digest(b"hello").lower()}, True),
+        ("response", body, {"WARC-Payload-Digest": "md5:0"}, True),
+        ("response", body, {"WARC-Payload-Digest": "sha1:" + warc.digest(b"other")}, False),
+        ("response", b"x", {"WARC-Payload-Digest": "sha1:" + warc.digest(b"")}, False),
+        ("metadata", b"m", {"WARC-Block-Digest": "sha1:" + warc.digest(b"n")}, False),
+    ]
+    data, bounds = b"", []
+    for kind, block, more, _ in cases:
+        head = {"WARC-Type": kind, "Content-Length": len(block), **more}
+        data += b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+        bounds.append(len(data))
+    found = {end: r for what, _, end, r in warc.salvage(data) if what == "record"}
+    assert [end in found for end in bounds] == [good for *_, good in cases]
+    assert [found[e]["record_type"] for e in bounds[:3]] == ["warcinfo", "request", "response"]
+    assert found[bounds[2]]["payload_digest"] == warc.digest(body)
