@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_alignment
+from .byte_bpe import op11_byte_bpe
+from .centroids import CENTROIDS_SQL, op12_centroids
 from .fingerprints import op5_fingerprints
 from .jaccard import JACCARD_SQL, op6_jaccard
 from .language import op2_language
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
         "op10_substrings": op10_substrings,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_centroids": op12_centroids,
+        "op13_alignment": op13_alignment,
     }
 
 
@@ -38,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": WARC_SQL,
         "op6_jaccard": JACCARD_SQL,
         "op7_secrets": SECRETS_SQL,
+        "op12_centroids": CENTROIDS_SQL,
     }

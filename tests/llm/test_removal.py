@@ -17,6 +17,6 @@ def test_every_contract_has_one_query():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([k for k in names if k.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
