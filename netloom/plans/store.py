@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,5 +23,31 @@ def folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/netloom/{label}-{uuid.uuid4().hex}"
+    _written[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._netloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; the folder's owner clears it
+        pass
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Deletes tables, as written() returned them, that nothing reads any more. What is left goes at exit."""
+    for df in tables:
+        path = df._netloom_path
+        if spark := _written.pop(path, None):
+            _delete(spark, path)
+
+
+@atexit.register
+def release() -> None:
+    while _written:
+        path, spark = _written.popitem()
+        _delete(spark, path)
