@@ -103,13 +103,15 @@ class Mix:
     """documents: row_id, src, source_size, target, size and start (the document's first word in its source; null without words), and keep.
     slots: src, idx (block), shard, slot, epoch. pieces: src, idx, row start, first and last word within the document."""
 
-    def __init__(self, docs: DataFrame, keep: list[str], weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shards=SHARDS, source_col="source", text_col="text"):
+    def __init__(self, docs: DataFrame, keep: list[str], weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shards=SHARDS, source_col="source", text_col="text", hashes=None):
+        """hashes: two 64-bit columns that together tell a row from all unlike ones, carried along as row1 and row2."""
         spark = docs.sparkSession
         rows = docs.select(
             *[F.col(c).alias(f"keep_{c}") for c in keep],
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(common.WORD)).cast("long").alias("size"),
             F.xxhash64(*keep, text_col).alias("tie"),
+            *[h.alias(f"row{i}") for i, h in enumerate(hashes or [], 1)],
         ).withColumn("part", F.pmod("tie", F.lit(PARTS)).cast("int"))
         rows = common.materialize(rows, "sizes")
         totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
@@ -129,7 +131,7 @@ class Mix:
         per_part = known.groupBy("src", "part").agg(F.sum("size").alias("in_part"))
         before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         per_part = per_part.select("src", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("part_start"))
-        within = Window.partitionBy("src", "part").orderBy("tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("src", "part").orderBy("tie", "size", *[f"row{i}" for i, _ in enumerate(hashes or [], 1)]).rowsBetween(Window.unboundedPreceding, -1)
         self.documents = (
             known.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
             .join(per_part, ["src", "part"])
@@ -183,19 +185,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each epoch a row for every document of which the mix takes words, with these words as its text.
 
     Columns stay those of docs. What is taken whole keeps its text as it is; else the taken words are joined by spaces.
-    n_chars, if there, is set to the new text's length. Of rows with equal id and text one stands for all: which of them
-    the words are from makes no difference, as their texts are equal."""
-    mix = Mix(docs, ["doc_id"], **options)
+    n_chars, if there, is set to the new text's length. A row is found again by 128 bits over all its columns, so rows of one id and
+    text under several sources each give their own. Of rows that are equal in all columns one stands for all."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashes = [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
+    mix = Mix(docs, ["doc_id"], hashes=hashes, **options)
     placed = mix.slots.select("src", "idx", "epoch").join(mix.pieces.hint("merge"), ["src", "idx"])
     runs = placed.groupBy("src", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("_runs"))
-    known = mix.documents.where("size > 0").select("src", "start", "tie", F.col("size").alias("_size"))
-    runs = known.join(runs.hint("merge"), ["src", "start"]).select("tie", "_size", "_runs")
+    known = mix.documents.where("size > 0").select("src", "start", "row1", "row2", F.col("size").alias("_size"))
+    runs = known.join(runs.hint("merge"), ["src", "start"]).select("row1", "row2", "_size", "_runs")
     # The input's row stays apart in a struct, so its columns may have any names.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    one = docs.select(row, F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("tie"))
-    if one.groupBy("tie").count().where("count > 1").select("tie").take(1):  # only then do whole rows have to be compared
-        one = one.dropDuplicates(["tie"])
-    out = one.join(runs.hint("merge"), "tie")
+    one = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"), hashes[0].alias("row1"), hashes[1].alias("row2"))
+    if one.groupBy("row1", "row2").count().where("count > 1").select("row1").take(1):  # only then do whole rows have to be compared
+        one = one.dropDuplicates(["row1", "row2"])
+    out = one.join(runs.hint("merge"), ["row1", "row2"])
     whole = (F.size("_runs") > 0) & (F.expr("aggregate(_runs, 0L, (a, r) -> a + r.end_word - r.first_word)") == F.col("_size"))
     words = F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))
     out = out.withColumn("_words", F.when(~whole, words))

@@ -93,3 +93,20 @@ def test_mixed_documents(spark):
         assert r.n_chars == len(r.text)
         assert any(set(r.text.split()) <= set((t or "").split()) for t in texts[r.doc_id])
     assert got == +took
+
+
+def test_equal_id_and_text_keep_their_own_rows(spark):
+    """Rows that differ in source or in a further column alone each come back as themselves."""
+    text = "one two three four"
+    rows = [(None, text, "a", 4, "x"), (None, text, "b", 4, "x"), (None, text, "a", 4, "y"), (3, text, None, 4, "x"), (3, text, "a", 4, "x"), (3, text, "a", 4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, tie string")
+    mix = mixing.Mix(docs, ["doc_id"], block=4, shards=2)
+    took = Counter()
+    for r in mix.taken().collect():
+        took[r.source] += r.taken
+    got, seen = Counter(), set()
+    for r in mixing.mixed_documents(docs, block=4, shards=2).collect():
+        got[r.source] += len(r.text.split())
+        seen.add((r.doc_id, r.source, r.tie))
+    assert got == +took
+    assert seen <= {(r[0], r[2], r[4]) for r in rows} and {s for _, s, _ in seen} == {s for s, n in took.items() if n}
