@@ -209,6 +209,13 @@ def ipm_lanes(spark, sf_dir):
     return descent.descend(*tables.order_lanes(spark, sf_dir), 4).solutions.select("problem_id", _long("cost", "total_cost"))
 
 
+@query(f"WITH {LANES} SELECT DISTINCT problem_id, 'ipm' AS solver_mode, CAST(6 AS INT) AS iterations, TRUE AS falls FROM q")
+def ipm_steps_lanes(spark, sf_dir):
+    """What the steps themselves do: all six are taken in every lane, and each lowers the potential (the gap alone may grow, when a step leaves a bound)."""
+    s = descent.descend(*tables.order_lanes(spark, sf_dir), 6).stats
+    return s.select("problem_id", "solver_mode", "iterations", (F.col("drop") > 0).alias("falls"))
+
+
 @query(f"WITH {DAYS} SELECT CAST(2 * d + CASE WHEN pre < 0 THEN 0 ELSE 1 END AS BIGINT) AS edge_id, CAST(abs(pre) AS BIGINT) AS flow FROM p WHERE d < k - 1 AND pre <> 0")
 def cancelled_cycles_day_line(spark, sf_dir):
     """From a feasible flow that sends one unit both ways everywhere."""
