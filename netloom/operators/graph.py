@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import written
+from ..plans.store import deleted, written
 
 
 def residual(edges: DataFrame, flows: DataFrame, epsilon: float = 0.0) -> DataFrame:
@@ -112,17 +114,36 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame, length: str = "length") -> DataFrame:
-    """Edges of the minimum spanning forest, ties by edge_id (Boruvka: each component takes its least leaving edge a round)."""
-    chosen, labels = None, nodes.select("problem_id", "node_id", F.col("node_id").alias("component"))
+    """Edges of the minimum spanning forest, ties by edge_id (Boruvka: each component takes its least leaving edge a round).
+
+    A component points to the one behind its edge; of two that chose one edge the lesser is the root, and pointers jump to the roots.
+    Then edges move to the roots, and of those between two roots only the least stays, so every round's tables are smaller than the last's."""
+    row = F.struct(F.col(length).alias(length), "edge_id", "src", "dst").alias("e")
+    now, chosen = written(edges.where("src <> dst").select("problem_id", F.col("src").alias("u"), F.col("dst").alias("v"), row), "between"), []
     while True:
-        to = lambda c, n: labels.select("problem_id", F.col("node_id").alias(c), F.col("component").alias(n))  # noqa: B023, E731
-        e = edges.join(to("src", "u"), ["problem_id", "src"]).join(to("dst", "v"), ["problem_id", "dst"]).where("u <> v")
-        ends = e.select("problem_id", F.explode(F.array("u", "v")).alias("component"), F.struct(length, "edge_id", "src", "dst").alias("e"))
-        best = written(ends.groupBy("problem_id", "component").agg(F.min("e").alias("e")).select("problem_id", "e.*").distinct(), "best")
+        side = lambda c, d: F.struct(F.col(c).alias("component"), F.col(d).alias("to"))
+        ends = now.select("problem_id", "e", F.explode(F.array(side("u", "v"), side("v", "u"))).alias("s")).select("problem_id", "s.component", F.struct("e", F.col("s.to").alias("to")).alias("b"))
+        best = written(ends.groupBy("problem_id", "component").agg(F.min("b").alias("b")).select("problem_id", "component", "b.e", "b.to"), "best")
+        chosen.append(best.select("problem_id", "e.*").distinct())
         if not best.take(1):
-            return chosen if chosen is not None else best
-        chosen = best if chosen is None else chosen.unionByName(best)
-        labels = connected(nodes, chosen)
+            deleted(now)
+            return reduce(DataFrame.unionByName, chosen)
+        back = best.select("problem_id", F.col("component").alias("to"), F.col("to").alias("_back"))
+        at = best.join(back, ["problem_id", "to"]).select("problem_id", "component", F.when((F.col("_back") == F.col("component")) & (F.col("component") < F.col("to")), F.col("component")).otherwise(F.col("to")).alias("root"))
+        at = written(at, "roots")
+        while True:
+            beyond = at.select("problem_id", F.col("component").alias("root"), F.col("root").alias("_root"))
+            then = written(at.join(beyond, ["problem_id", "root"]).select("problem_id", "component", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("moved")), "roots")
+            deleted(at)
+            at = then.drop("moved")
+            at._netloom_path = then._netloom_path
+            if not then.where("moved").take(1):
+                break
+        to = lambda c: at.select("problem_id", F.col("component").alias(c), F.col("root").alias(f"_{c}"))  # noqa: B023, E731
+        moved = now.join(to("u"), ["problem_id", "u"]).join(to("v"), ["problem_id", "v"]).where("_u <> _v")
+        then = written(moved.groupBy("problem_id", F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).agg(F.min("e").alias("e")), "between")
+        deleted(now, at)
+        now = then
 
 
 def rooted(nodes: DataFrame, tree: DataFrame, length: str = "length") -> DataFrame:

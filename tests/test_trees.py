@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import circulation, graph, spanner, trees
+from netloom.operators import circulation, decremental, graph, spanner, trees
 
 EDGE = "problem_id string, edge_id bigint, src bigint, dst bigint, length double, gradient double"
 NODE = "problem_id string, node_id bigint"
@@ -179,3 +179,75 @@ def test_walks_are_closed_and_sum_up(spark):
         assert not any(balance.values())
     with pytest.raises(Exception, match="isn't balanced"):
         circulation.closed_walks(e.where("edge_id <> 0")).collect()
+
+
+def test_levels_equal_fresh_search_after_each_batch(spark):
+    rnd = random.Random(11)
+    rows = {i: (rnd.randrange(40), rnd.randrange(40)) for i in range(110)}
+    make = lambda r: spark.createDataFrame([("p", i, a, b) for i, (a, b) in r.items()], "problem_id string, edge_id bigint, src bigint, dst bigint")
+    now = decremental.levels(make(rows), spark.createDataFrame([("p", 0)], NODE))
+    for size in (1, 8, 40, 0):
+        gone = rnd.sample(sorted(rows), size)
+        rows = {i: e for i, e in rows.items() if i not in gone}
+        now = decremental.deletions(now, spark.createDataFrame([("p", i) for i in [*gone, 5555]], "problem_id string, edge_id bigint"))
+        near = {v: {b for a, b in rows.values() if a == v} | {a for a, b in rows.values() if b == v} for v in range(40)}
+        level, front = {0: 0}, [0]
+        while front:
+            front = [w for w in {w for v in front for w in near[v]} if w not in level]
+            level |= {w: max(level.values()) + 1 for w in front}
+        got = {r.node_id: r for r in now.tree.collect()}
+        assert {v: r.depth for v, r in got.items()} == level
+        for v, r in got.items():
+            if v:
+                assert set(rows[r.parent_edge]) == {v, r.parent} and got[r.parent].depth == r.depth - 1
+        assert size or now.touched == 0
+    assert now.edges.count() == len(rows)
+
+
+def test_weights_follow_the_formula(spark):
+    import math
+
+    rows = [("p", i, a, b, w, float(i % 3)) for i, (a, b, w) in enumerate([(0, 1, 1.0), (1, 2, 1.1), (2, 3, 1.2), (3, 0, 1.3), (0, 2, 2.0), (3, 4, 1.0), (4, 0, 1.9)])]
+    e = spark.createDataFrame(rows, "problem_id string, edge_id bigint, src bigint, dst bigint, length double, circulation double")
+    nodes = spark.createDataFrame([("p", v) for v in range(5)], NODE)
+    tree, weight = trees.weighted_trees(nodes, e, rounds=3, eta=0.4)
+    trees_of, after = {}, {}
+    for r in tree.collect():
+        trees_of.setdefault(r.round, set()).add(r.edge_id)
+    for r in weight.collect():
+        after[r.round, r.edge_id] = r
+    w = dict.fromkeys(range(7), 1.0)
+    for k in range(3):
+        group, chosen = list(range(5)), set()
+        for i in sorted(w, key=lambda i: (rows[i][4] / w[i], i)):
+            a, b = group[rows[i][2]], group[rows[i][3]]
+            if a != b:
+                group, chosen = [a if g == b else g for g in group], chosen | {i}
+        assert trees_of[k] == chosen
+        far = {(a, b): 0.0 if a == b else math.inf for a in range(5) for b in range(5)}
+        for i in chosen:
+            far[rows[i][2], rows[i][3]] = far[rows[i][3], rows[i][2]] = rows[i][4]
+        for m in range(5):
+            for a in range(5):
+                for b in range(5):
+                    far[a, b] = min(far[a, b], far[a, m] + far[m, b])
+        for i in w:
+            stretch = far[rows[i][2], rows[i][3]] / rows[i][4]
+            w[i] *= math.exp(0.4 * stretch) if rows[i][5] else 1.0
+            assert math.isclose(after[k, i].stretch, stretch) and math.isclose(after[k, i].weight, w[i])
+
+
+def test_minimum_forest_against_kruskal(spark):
+    rnd = random.Random(12)
+    rows = [(p, i, rnd.randrange(30), rnd.randrange(30), float(rnd.randint(1, 6))) for i, p in enumerate("ab" * 60)]
+    e = spark.createDataFrame(rows, "problem_id string, edge_id bigint, src bigint, dst bigint, length double")
+    nodes = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    want, group = set(), {(p, v): v for p in "ab" for v in range(30)}
+    for p, i, a, b, _ in sorted(rows, key=lambda r: (r[4], r[1])):
+        x, y = group[p, a], group[p, b]
+        if x != y:
+            group = {k: x if k[0] == p and g == y else g for k, g in group.items()}
+            want.add((p, i))
+    got = [(r.problem_id, r.edge_id) for r in graph.spanning_forest(nodes, e).collect()]
+    assert sorted(got) == sorted(want)
+    assert graph.spanning_forest(nodes, e.where("false")).count() == 0
