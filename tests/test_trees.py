@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import circulation, decremental, graph, spanner, trees
+from netloom.operators import circulation, decremental, expander, graph, spanner, trees
 
 EDGE = "problem_id string, edge_id bigint, src bigint, dst bigint, length double, gradient double"
 NODE = "problem_id string, node_id bigint"
@@ -251,3 +251,31 @@ def test_minimum_forest_against_kruskal(spark):
     got = [(r.problem_id, r.edge_id) for r in graph.spanning_forest(nodes, e).collect()]
     assert sorted(got) == sorted(want)
     assert graph.spanning_forest(nodes, e.where("false")).count() == 0
+
+
+def test_parts_are_cut_at_bottlenecks(spark):
+    """Three cliques in a row, joined by single edges, beside one clique of a problem of its own: the parts are the cliques, and the cut edges
+    and each cut's conductance are as counted by hand."""
+    rows, k = [], 0
+    for c in range(3):
+        for a in range(8):
+            for b in range(a):
+                rows.append(("row", (k := k + 1), 10 * c + a, 10 * c + b))
+    rows += [("row", 900, 0, 10), ("row", 901, 11, 20)] + [("one", 2000 + 10 * a + b, a, b) for a in range(7) for b in range(a)]
+    e = spark.createDataFrame(rows, "problem_id string, edge_id bigint, src bigint, dst bigint").withColumn("x", F.lit("clash"))
+    nodes = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).union(spark.createDataFrame([("row", 77)], NODE))
+    part, between = expander.decompose(nodes, e, least=0.1, rounds=24)
+    groups = {}
+    for r in part.collect():
+        groups.setdefault((r.problem_id, r.part), set()).add(r.node_id)
+    cliques = sorted([sorted(range(10 * c, 10 * c + 8)) for c in range(3)])
+    assert sorted(sorted(v - {77}) for (p, _), v in groups.items() if p == "row" and v != {77}) == cliques
+    assert [sorted(v) for (p, _), v in groups.items() if p == "one"] == [list(range(7))]
+    assert sorted(r.edge_id for r in between.collect()) == [900, 901]
+    at, cuts = expander.sweep(expander.walked(e, 24), e)
+    side = {(r.problem_id, r.node_id): r.bin for r in at.collect()}
+    for c in cuts.collect():
+        own = [(a, b) for p, _, a, b in rows if p == c.problem_id]
+        low = lambda v: side[c.problem_id, v] <= c.bin  # noqa: B023, E731
+        volume = [sum(low(v) == s for ab in own for v in ab) for s in (True, False)]
+        assert c.cut == sum(low(a) != low(b) for a, b in own) and c.volume == min(volume) and c.conductance == c.cut / c.volume
