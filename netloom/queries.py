@@ -471,4 +471,4 @@ def stability_lines(spark, sf_dir):
     return graph.widths_stable(before, e.select("problem_id", "edge_id", F.col("upper").cast("double").alias("width")), dirty, 0.5)
 
 
-from . import solver_queries, tree_queries  # noqa: E402, F401  they add their own
+from . import scaling_queries, solver_queries, tree_queries  # noqa: E402, F401  they add their own
