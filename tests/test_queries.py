@@ -37,3 +37,13 @@ def test_query(spark, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-6) for x, y in zip(a, b)), (a, b)
+
+
+def test_halves_of_a_size_go_to_the_even_neighbour(spark, tmp_path):
+    values = [0.5, 1.5, 2.5, 9.5, 10.5, 99.5, 100.5, 0.49, 0.51]
+    spark.createDataFrame([(i, "click", v) for i, v in enumerate(values)], "event_id bigint, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["game_pressure_events"](spark, str(tmp_path))
+    cur = duckdb.connect()
+    cur.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur.execute(queries.SQL["game_pressure_events"])
+    assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall())
