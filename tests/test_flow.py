@@ -213,3 +213,27 @@ def test_rewrites(spark):
     assert solve(free, open_).solutions.first().cost == 9 - 2 * 1 - 1 * 2
     facts = rewrite.size_facts(edges).first()
     assert (facts.m, facts.max_bound, facts.power_of_two, int(facts.cost_lower_bound)) == (2, 5, 1, 4)
+
+
+def test_parallel_edges_of_equal_cost_are_one_for_the_worker(spark):
+    """Bounds of merged edges add up, flows come back by edge; edges with a bound near 64 bits and wrong ones stay alone."""
+    from netloom.plans import rewrite
+
+    big = 2**62
+    edges = [("a", 100 + i, 0, 1, i % 2, 3 + i % 4, 7 * (i % 3) - 7) for i in range(600)] + [("a", 1, 0, 1, 0, big, 90), ("a", 2, 0, 1, 0, big, 90), ("a", 3, 1, 0, 0, 5, 2)]
+    edges += [("low", 0, 0, 1, 0, 5, 1), ("low", 1, 0, 1, 4, 3, 1), ("low", 2, 0, 1, 0, 9, 1), ("twice", 4, 0, 1, 0, 5, 1), ("twice", 7, 0, 1, 0, 5, 1), ("twice", 7, 0, 1, 0, 5, 1)]
+    nodes = [(p, v, d) for p, k in (("a", 1200), ("low", 2), ("twice", 2)) for v, d in ((0, -k), (1, k))]
+    n, e = spark.createDataFrame(nodes, "problem_id string, node_id bigint, demand bigint"), spark.createDataFrame(edges, "problem_id string, edge_id bigint, src bigint, dst bigint, lower bigint, upper bigint, cost bigint")
+    assert rewrite.parallel_classes(e).where("problem_id = 'a'").count() == 3 + 3
+    got = solve(n, e)
+    status = {r.problem_id: r.status for r in got.solutions.collect()}
+    assert status == {"a": "OPTIMAL", "low": "INVALID", "twice": "INVALID"}
+    flow = {r.edge_id: r.flow for r in got.flows.collect()}
+    own = [x for x in edges if x[0] == "a"]
+    assert len(flow) == len(own) and all(x[4] <= flow[x[1]] <= x[5] for x in own)
+    assert sum(flow[x[1]] * (1 if x[2] == 0 else -1) for x in own) == 1200
+    from netloom.operators import kernel
+
+    alone = kernel.min_cost_flow(2, *[[x[k] for x in own] for k in (2, 3, 4, 5, 6)], [-1200, 1200])[0]
+    assert sum(flow[x[1]] * x[6] for x in own) == sum(f * x[6] for f, x in zip(alone, own))
+    assert all(v == 0 for r in certify(n, e, got).where("problem_id = 'a'").collect() for v in r[1:])
