@@ -49,8 +49,13 @@ _FEATURES = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.float64()
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
+#: Most edits of a term, and the bits of a word's window: a letter before the first diagonal, as letters may have changed places.
+EDITS = 2
+WINDOW = (1 << 2 * EDITS + 2) - 1
+
+
 def edits(length: int) -> int:
-    return 0 if length < 4 else 1 if length < 10 else 2
+    return 0 if length < 4 else 1 if length < 10 else EDITS
 
 
 def bare(token: str) -> str:
@@ -82,35 +87,66 @@ class Lexicon:
                         if a + shift >= 0:
                             self.parts.add((a + shift, form[a:b]))
                             self.lengths.add((a + shift, b - a))
+        self.trie = self.compiled(self.root)
+        clip = (EDITS + 1,) * (2 * EDITS + 1)
+        start = tuple(abs(t) if t >= 0 else EDITS + 1 for t in range(-EDITS, EDITS + 1))
+        self.states, self.numbers, self.steps = [(start, clip, 0)], {(start, clip, 0): 0}, {}
         self.spots = sorted(self.lengths)
         #: Letters of a word that tell whether it is near a term: of the longest term, its edits and one more.
         self.most = max(map(len, self.stems | self.exact), default=0) + 3
         self.stem_lengths = sorted({len(s) for s in self.stems})
 
+    @staticmethod
+    def compiled(node: dict) -> tuple:
+        """Of a node of the trie: what ends there, most edits at or below it, and its children with their letters."""
+        children = [(c, Lexicon.compiled(child)) for c, child in node.items() if c]
+        end = node.get("", (False, 0))
+        return end, max([end[1], *(below[1] for _, below in children)]), children
+
     def near(self, word: str) -> bool:
         """Whether the automaton of any term, of as many edits as its length allows, takes the word or, for stems, its beginning.
 
-        The trie is walked with the automaton's states, one row of edit distances for each node; letters that have changed
-        places need the row before it too."""
-        n, most = len(word), 2
-        stack = [(self.root, list(range(n + 1)), "", [])]
+        The trie is walked with the automaton's states. A state stands for two rows of edit distances (letters that have changed
+        places need the row before) by the diagonal, up to EDITS to either side and clipped behind EDITS, so there are few states, and
+        steps between them are remembered: they depend on where the window of the word holds the new letter and the last one."""
+        n, steps, states = len(word), self.steps, self.states
+        places: dict[str, int] = {}
+        for j, c in enumerate(word):
+            places[c] = places.get(c, 0) | 1 << EDITS + 1 + j
+        stack = [(self.trie, 0, 0, 0)]
         while stack:
-            node, row, last, before = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    stem, k = child
-                    if k and (min(row) if stem else row[n]) <= k:
-                        return True
-                    continue
-                new = [row[0] + 1]
-                for j in range(n):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (word[j] != c)))
-                    if j and word[j] == last and word[j - 1] == c:
-                        new[-1] = min(new[-1], before[j - 1] + 1)
-                if min(new) <= most:
-                    stack.append((child, new, c, row))
+            ((stem, k), _, children), state, last, depth = stack.pop()
+            if k:
+                row, at = states[state][0], n - depth + EDITS
+                if at >= 0 and (min(row[: at + 1]) if stem else row[at] if at < len(row) else k + 1) <= k:
+                    return True
+            before = last >> depth & WINDOW
+            for c, child in children:
+                here = places.get(c, 0)
+                key = state << 16 | (here >> depth & WINDOW) << 8 | before
+                new = steps.get(key)
+                if new is None:
+                    new = steps[key] = self.step(states[state], here >> depth & WINDOW, before)
+                if states[new][2] <= child[1]:
+                    stack.append((child, new, here, depth + 1))
         return False
 
+    def step(self, state: tuple, here: int, before: int) -> int:
+        """The number of the state after a letter that the word's window holds at the bits here; before: those of the last letter."""
+        row, above, _ = state
+        clip, new = EDITS + 1, []
+        for t in range(len(row)):
+            left, up = new[t - 1] if t else clip, row[t + 1] if t + 1 < len(row) else clip
+            least = min(left + 1, up + 1, row[t] + (not here >> t + 1 & 1), clip)
+            if before >> t + 1 & 1 and here >> t & 1:
+                least = min(least, above[t] + 1)
+            new.append(least)
+        found = (tuple(new), row, min(new))
+        if found not in self.numbers:
+            self.numbers[found] = len(self.states)
+            self.states.append(found)
+        return self.numbers[found]
+
     def kind(self, token: str) -> int:
         """0 no term, 1 a term, 2 a misspelled one."""
         word = bare(token)

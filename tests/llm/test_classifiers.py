@@ -150,3 +150,32 @@ def test_toxicity_held_out_ranks(spark):
     assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in clean) <= 0.1 * len(clean)
     ahead = sum((a.score > b.score) + 0.5 * (a.score == b.score) for a in toxic for b in clean)
     assert ahead >= 0.9 * len(toxic) * len(clean)
+
+
+def test_automaton_states_are_shared_by_words():
+    """The walk agrees with plain edit distances, and words of any length share a bounded number of states."""
+    rng = __import__("random").Random(3)
+
+    def table(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[len(a)]
+
+    terms = ["abc", "kitten", "longishterm", "stemmed*", "longerstems*"]
+    lexicon = toxicity.Lexicon(terms)
+    for _ in range(3000):
+        word = list(rng.choice(terms).removesuffix("*") + "".join(rng.choices("abet", k=rng.choice([0, 0, 3, 40]))))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word))
+            word[at : at + 2] = rng.choice([word[at : at + 2][::-1], word[at : at + 1], ["e", *word[at : at + 2]]])
+        want = False
+        for term in terms:
+            core = term.removesuffix("*")
+            row, k = table(core, word), toxicity.edits(len(core))
+            want |= k > 0 and (min(row) if term.endswith("*") else row[-1]) <= k
+        assert lexicon.near("".join(word)) == want
+    assert len(lexicon.states) < 500
