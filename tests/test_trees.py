@@ -279,3 +279,31 @@ def test_parts_are_cut_at_bottlenecks(spark):
         low = lambda v: side[c.problem_id, v] <= c.bin  # noqa: B023, E731
         volume = [sum(low(v) == s for ab in own for v in ab) for s in (True, False)]
         assert c.cut == sum(low(a) != low(b) for a, b in own) and c.volume == min(volume) and c.conductance == c.cut / c.volume
+
+
+def test_contraction_writes_in_proportion_to_the_rows(spark, monkeypatch):
+    """Over a chain, doubling would write every row a round; contraction writes a few times the rows and gives the same sums."""
+    n = 2000
+    tree = spark.range(n).selectExpr("'p' AS problem_id", "id AS node_id", "nullif(id, 0) - 1 AS parent", "CAST(id % 5 AS DOUBLE) AS length", "0D AS gradient").coalesce(2)
+    monkeypatch.setattr(trees, "FEW", 64)
+    counts, plain = [], trees.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "written", counted)
+    got = {r.node_id: (r.root, r.depth, r.length) for r in trees.root_sums(tree).collect()}
+    assert sum(counts) < 8 * n
+    far = 0.0
+    for v in range(n):
+        far += v % 5 if v else 0
+        assert got[v] == (0, v, far)
+
+
+def test_tour_by_contraction_equals_doubling(spark, forest, tour, monkeypatch):
+    monkeypatch.setattr(trees, "FEW", 12)
+    tree, nodes = forest[1], forest[0]
+    again = trees.euler_tour(tree, nodes)
+    assert sorted(map(tuple, again.select(*tour.columns).collect()), key=repr) == sorted(map(tuple, tour.collect()), key=repr)
