@@ -307,3 +307,10 @@ def test_tour_by_contraction_equals_doubling(spark, forest, tour, monkeypatch):
     tree, nodes = forest[1], forest[0]
     again = trees.euler_tour(tree, nodes)
     assert sorted(map(tuple, again.select(*tour.columns).collect()), key=repr) == sorted(map(tuple, tour.collect()), key=repr)
+
+
+def test_no_join_by_the_common_ancestor(forest, tour):
+    """Most pairs can share one ancestor, so a join by it is a join of all pairs in one task."""
+    p = trees.paths(trees.with_values(tour, forest[1]))
+    plan = trees.path_sums(forest[2], p)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "lca#" in line]
