@@ -314,3 +314,16 @@ def test_no_join_by_the_common_ancestor(forest, tour):
     p = trees.paths(trees.with_values(tour, forest[1]))
     plan = trees.path_sums(forest[2], p)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "lca#" in line]
+
+
+def test_rows_of_one_label_stay_where_they_are(spark, monkeypatch):
+    """Labels of over HOT rows are broadcast, others joined; both give the least node of each component."""
+    e = spark.createDataFrame([("p", i, 0, i) for i in range(1, 60)] + [("p", 100 + i, i, i + 1) for i in range(100, 110)] + [("q", i, 5, 5 + i) for i in range(1, 9)], "problem_id string, edge_id bigint, src bigint, dst bigint")
+    nodes = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    monkeypatch.setattr(graph, "HOT", 7)
+    seen, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: (seen.append((label, out := plain(df, label))), out)[1])
+    got = {tuple(r) for r in graph.connected(nodes, e).select("problem_id", "node_id", "component").collect()}
+    assert got == {("p", v, 0 if v < 60 else 100) for v in [*range(60), *range(100, 111)]} | {("q", 5 + i, 5) for i in range(9)}
+    hot = [out for label, out in seen if label == "hot-labels"]
+    assert {tuple(r)[:2] for r in hot[-1].select("problem_id", "next").collect()} == {("p", 0), ("p", 100), ("q", 5)}
