@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import deleted, written
+from ..plans.store import dealt, deleted, held, released, written
 
 BINS = 1024
 
@@ -23,19 +23,25 @@ def start_value(node):
 
 
 def walked(edges: DataFrame, rounds: int) -> DataFrame:
-    """problem_id, node_id, degree, x: after so many steps, in each of which a node's value becomes half its own and half its neighbours' mean."""
+    """problem_id, node_id, degree, x: after so many steps, in each of which a node's value becomes half its own and half its neighbours' mean.
+
+    The arcs stay with their tails, so a step sends values, not arcs. A sum is taken in two halves that fit whole numbers of 64 bits: values have at most
+    42 bits, so their upper halves add up without overflow to a degree of 2**42."""
     ends = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col(b).alias("to"))
     arcs = edges.where("src <> dst").select("problem_id", F.explode(F.array(ends("src", "dst"), ends("dst", "src"))).alias("a")).select("problem_id", "a.*")
-    arcs = written(arcs.groupBy("problem_id", "node_id", "to").agg(F.count("*").alias("w")), "walk-arcs")
-    now = written(arcs.groupBy("problem_id", "node_id").agg(F.sum("w").alias("degree")).withColumn("x", start_value(F.col("node_id"))), "walk")
+    key = ["problem_id", "to"]
+    arcs = held(dealt(arcs, *key).groupBy(*key, "node_id").agg(F.count("*").alias("w")), *key)
+    # Every edge gives arcs both ways, so a node has as many behind it as ahead.
+    now = written(arcs.groupBy("problem_id", F.col("to").alias("node_id")).agg(F.sum("w").alias("degree")).withColumn("x", start_value(F.col("node_id"))), "walk")
     for _ in range(rounds):
-        around = arcs.join(now.select("problem_id", F.col("node_id").alias("to"), "x"), ["problem_id", "to"])
-        around = around.groupBy("problem_id", "node_id").agg(F.sum(F.col("x").cast("decimal(38,0)") * F.col("w").cast("decimal(19,0)")).cast("decimal(38,0)").alias("s"))
-        step = F.expr("CAST((CAST(x AS DECIMAL(19,0)) * CAST(degree AS DECIMAL(18,0)) + s) DIV (2 * degree) AS BIGINT)")
+        around = arcs.join(now.select("problem_id", F.col("node_id").alias("to"), "x"), key)
+        around = around.groupBy("problem_id", "node_id").agg(F.sum(F.shiftright("x", 21) * F.col("w")).alias("_up"), F.sum(F.col("x").bitwiseAND(F.lit((1 << 21) - 1)) * F.col("w")).alias("_low"))
+        s = "CAST(_up AS DECIMAL(19,0)) * 2097152 + CAST(_low AS DECIMAL(19,0))"
+        step = F.expr(f"CAST((CAST(x AS DECIMAL(19,0)) * CAST(degree AS DECIMAL(18,0)) + ({s})) DIV (2 * degree) AS BIGINT)")
         then = written(now.join(around, ["problem_id", "node_id"]).select("problem_id", "node_id", "degree", step.alias("x")), "walk")
         deleted(now)
         now = then
-    deleted(arcs)
+    released(arcs)
     return now
 
 

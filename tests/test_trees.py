@@ -327,3 +327,39 @@ def test_rows_of_one_label_stay_where_they_are(spark, monkeypatch):
     assert got == {("p", v, 0 if v < 60 else 100) for v in [*range(60), *range(100, 111)]} | {("q", 5 + i, 5) for i in range(9)}
     hot = [out for label, out in seen if label == "hot-labels"]
     assert {tuple(r)[:2] for r in hot[-1].select("problem_id", "next").collect()} == {("p", 0), ("p", 100), ("q", 5)}
+
+
+def _sent(spark, run) -> int:
+    """Rows that the stages of a run have shuffled, without broadcasts, as at large sizes."""
+    sc = spark.sparkContext
+    seen = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    count = lambda: sum(s.shuffleWriteRecords() for s in (lambda x: [x.apply(i) for i in range(x.size())])(seen()))
+    before = count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return count() - before
+
+
+def _dense(spark):
+    """Every one of 60 nodes joined with every one of 60 others: 7,200 arcs, few nodes."""
+    rows = [("p", 100 * a + b, a, 1000 + b, 1.0 + (7 * a + 3 * b) % 5, 0.0) for a in range(60) for b in range(60)]
+    return spark.createDataFrame(rows, EDGE)
+
+
+def test_steps_of_a_walk_send_no_arcs(spark):
+    e = _dense(spark)
+    few, many = (_sent(spark, lambda: expander.walked(e, n).collect()) for n in (1, 4))  # noqa: B023
+    assert (many - few) / 3 < 7200 / 2
+
+
+def test_a_walk_of_many_parallel_edges_is_exact(spark):
+    e = spark.createDataFrame([("p", 0, 1)], "problem_id string, src bigint, dst bigint").crossJoin(spark.range(20_000)).union(spark.createDataFrame([("p", 1, 2, 0)], "problem_id string, src bigint, dst bigint, id bigint"))
+    x = {r.node_id: r.x for r in spark.range(3).select(F.col("id").alias("node_id"), expander.start_value(F.col("id")).alias("x")).collect()}
+    w, degree = {(0, 1): 20_000, (1, 0): 20_000, (1, 2): 1, (2, 1): 1}, {0: 20_000, 1: 20_001, 2: 1}
+    for _ in range(3):
+        total = {v: x[v] * degree[v] + sum(n * x[b] for (a, b), n in w.items() if a == v) for v in x}
+        x = {v: (abs(s) // (2 * degree[v])) * (1 if s > 0 else -1) for v, s in total.items()}
+    assert {r.node_id: (r.degree, r.x) for r in expander.walked(e, 3).collect()} == {v: (degree[v], x[v]) for v in x}
