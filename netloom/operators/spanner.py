@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import written
 from . import graph
 
 
@@ -56,26 +57,25 @@ def random_forest(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     return graph.spanning_forest(nodes, shuffled)
 
 
-def embedding(edges: DataFrame, found: DataFrame) -> DataFrame:
+def embedding(edges: DataFrame, found: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """problem_id, edge_id, k, step_edge, step_direction: for each edge between two nodes the path of 1 to 3 edges of the cluster spanner from its
-    tail to its head. found: clusters().
+    tail to its head. found: clusters(); kept: their cluster_spanner(), where it is known already.
 
     An edge of the spanner is its own path. Within a cluster a path leads over the center. Between clusters it takes the tail's own link to the
-    head's cluster, and from where that ends, by way of the center, goes on to the head. So every path comes from lookups: no search widens at hubs."""
+    head's cluster, and from where that ends, by way of the center, goes on to the head. So every path comes from lookups: no search widens at hubs. The way of a joining edge is looked up once for each node, not
+    for each edge that leads over it."""
     e = edges.where("src <> dst").select("problem_id", "edge_id", "src", "dst")
-    at = lambda c, n: found.select("problem_id", F.col("node_id").alias(c), F.col("cluster").alias(f"{n}_cluster"), F.col("edge_id").alias(f"{n}_edge"))
+    # The way of a joining edge from its node to the center is that of the edge if the node is its tail.
+    tails = edges.select("problem_id", "edge_id", F.col("src").alias("_s"))
+    way = F.when(F.col("edge_id").isNotNull(), F.when(F.col("_s") == F.col("node_id"), 1).otherwise(-1))
+    known = written(found.join(tails, ["problem_id", "edge_id"], "left").select("problem_id", "node_id", "cluster", "edge_id", way.alias("way")), "joined-nodes")
+    at = lambda c, n: known.select("problem_id", F.col("node_id").alias(c), *[F.col(x).alias(f"{n}_{y}") for x, y in (("cluster", "cluster"), ("edge_id", "edge"), ("way", "way"))])
     both = graph.undirected(e).where("src <> dst").join(at("src", "own"), ["problem_id", "src"]).join(at("dst", "other"), ["problem_id", "dst"])
     links = both.where("own_cluster <> other_cluster").groupBy("problem_id", "src", F.col("other_cluster").alias("head_cluster"))
-    links = links.agg(F.min(F.struct(F.col("edge_id").alias("link"), F.col("direction").alias("link_way"), F.col("dst").alias("through"), F.col("other_edge").alias("through_edge"))).alias("l"))
+    links = links.agg(F.min(F.struct(F.col("edge_id").alias("link"), F.col("direction").alias("link_way"), F.col("dst").alias("through"), F.col("other_edge").alias("through_edge"), F.col("other_way").alias("through_way"))).alias("l"))
     links = links.select("problem_id", "src", "head_cluster", "l.*")
     t = e.join(at("src", "tail"), ["problem_id", "src"]).join(at("dst", "head"), ["problem_id", "dst"]).join(links, ["problem_id", "src", "head_cluster"], "left")
-    t = t.join(cluster_spanner(edges, found).withColumn("kept", F.lit(True)), ["problem_id", "edge_id"], "left")
-    # The way of a joining edge from its node to the center is that of the edge if the node is its tail.
-    tails = edges.select("problem_id", F.col("edge_id").alias("_e"), F.col("src").alias("_s"))
-    to_center = found.where("edge_id IS NOT NULL").join(tails, (found["edge_id"] == F.col("_e")) & (found["problem_id"] == tails["problem_id"]))
-    to_center = to_center.select(found["problem_id"], F.col("edge_id").alias("_join"), F.when(F.col("_s") == F.col("node_id"), 1).otherwise(-1).alias("_way")).distinct()
-    for c in ("tail", "head", "through"):
-        t = t.join(to_center.select("problem_id", F.col("_join").alias(f"{c}_edge"), F.col("_way").alias(f"{c}_way")), ["problem_id", f"{c}_edge"], "left")
+    t = t.join((cluster_spanner(edges, known) if kept is None else kept).withColumn("kept", F.lit(True)), ["problem_id", "edge_id"], "left")
     step = lambda edge, way: F.struct(F.col(edge).alias("step_edge"), way.cast("int").alias("step_direction"))
     own = F.array(step("edge_id", F.lit(1)))
     within = F.array(step("tail_edge", F.col("tail_way")), step("head_edge", -F.col("head_way")))

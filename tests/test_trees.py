@@ -363,3 +363,13 @@ def test_a_walk_of_many_parallel_edges_is_exact(spark):
         total = {v: x[v] * degree[v] + sum(n * x[b] for (a, b), n in w.items() if a == v) for v in x}
         x = {v: (abs(s) // (2 * degree[v])) * (1 if s > 0 else -1) for v, s in total.items()}
     assert {r.node_id: (r.degree, r.x) for r in expander.walked(e, 3).collect()} == {v: (degree[v], x[v]) for v in x}
+
+
+def test_embedding_over_a_known_spanner(spark):
+    """The same paths whether the spanner is given or found again."""
+    e = _dense(spark)
+    found = spanner.clusters(e, spark.createDataFrame([("p", v) for v in (0, 7, 1014)], NODE))
+    kept = spanner.cluster_spanner(e, found)
+    given, own = (sorted(map(tuple, spanner.embedding(e, found, *k).collect())) for k in ((kept,), ()))
+    assert given == own and {r[1] for r in own} == {r.edge_id for r in e.collect()}
+    assert {r[3] for r in own} <= {r.edge_id for r in kept.collect()}
