@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import deleted, written
+from ..plans.store import deleted, released, written
 from . import trees
 
 _STATE = ["problem_id", "node_id", "parent", "parent_edge", "depth"]
@@ -39,7 +39,7 @@ def deletions(now: Levels, batch: DataFrame) -> Levels:
     batch = batch.select("problem_id", "edge_id").distinct()
     edges = written(now.edges.join(batch, ["problem_id", "edge_id"], "left_anti"), "edges-left")
     key = ["problem_id", "node_id"]
-    arcs = trees._arcs(edges)
+    arcs = trees.held_arcs(edges, only=[*key, "to", "edge_id"])
     cut = batch.withColumnRenamed("edge_id", "parent_edge")
     asking = written(now.tree.join(cut, ["problem_id", "parent_edge"], "left_semi").select(*key, "depth"), "asking")
     lost_parts, moved = [], now.tree.select(*_STATE).limit(0)
@@ -62,6 +62,7 @@ def deletions(now: Levels, batch: DataFrame) -> Levels:
         children = still.select(*key, "depth").unionByName(moved.join(gone, ["problem_id", "parent"], "left_semi").select(*key, "depth"))
         asking = written(children.join(reduce(DataFrame.unionByName, lost_parts).select(*key), key, "left_anti").distinct(), "asking")
     if not lost_parts:
+        released(arcs)
         return Levels(edges, now.tree, 0)
     lost = written(reduce(DataFrame.unionByName, lost_parts).select(*key).distinct(), "lost")
     kept = now.tree.join(lost, key, "left_anti").join(moved.select(*key), key, "left_anti").unionByName(moved.join(lost, key, "left_anti"))
@@ -81,5 +82,6 @@ def deletions(now: Levels, batch: DataFrame) -> Levels:
         found = then
     tree = written(kept.select(*_STATE).unionByName(found.select(*key, "o.parent", "o.parent_edge", "o.depth").select(*_STATE)), "levels")
     touched = lost.count() + moved.join(lost, key, "left_anti").count()
+    released(arcs)
     deleted(inner, found, lost)
     return Levels(edges, tree, touched)

@@ -365,6 +365,15 @@ def test_a_walk_of_many_parallel_edges_is_exact(spark):
     assert {r.node_id: (r.degree, r.x) for r in expander.walked(e, 3).collect()} == {v: (degree[v], x[v]) for v in x}
 
 
+def test_levels_after_deletions_send_arcs_once(spark):
+    e = _dense(spark)
+    path = spark.createDataFrame([("p", 10**6 + i, 2000 + i if i else 0, 2001 + i, 1.0, 0.0) for i in range(6)], EDGE)
+    e = e.unionByName(path)
+    now = decremental.levels(e, spark.createDataFrame([("p", 0)], NODE))
+    gone = spark.createDataFrame([("p", 10**6)], "problem_id string, edge_id bigint")
+    assert _sent(spark, lambda: decremental.deletions(now, gone)) < 7200 * 4
+
+
 def test_embedding_over_a_known_spanner(spark):
     """The same paths whether the spanner is given or found again."""
     e = _dense(spark)
