@@ -365,6 +365,16 @@ def test_a_walk_of_many_parallel_edges_is_exact(spark):
     assert {r.node_id: (r.degree, r.x) for r in expander.walked(e, 3).collect()} == {v: (degree[v], x[v]) for v in x}
 
 
+def test_rounds_of_clusters_send_no_arcs(spark):
+    e = _dense(spark)
+    nodes = e.select("problem_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("shift", F.lit(0).cast("bigint"))
+    # A long tail makes rounds in which only it grows.
+    tail = spark.createDataFrame([("p", 10**6 + i, 1059 + i, 1060 + i, 1.0, 0.0) for i in range(12)], EDGE)
+    more = spark.createDataFrame([("p", 1060 + i, 0) for i in range(12)], "problem_id string, node_id bigint, shift bigint")
+    shifted = nodes.unionByName(more).withColumn("shift", F.when(F.col("node_id") == 0, 100).otherwise(0).cast("bigint"))
+    assert _sent(spark, lambda: trees.low_diameter(shifted, e.unionByName(tail)).select("center").collect()) < 7200 * 8
+
+
 def test_levels_after_deletions_send_arcs_once(spark):
     e = _dense(spark)
     path = spark.createDataFrame([("p", 10**6 + i, 2000 + i if i else 0, 2001 + i, 1.0, 0.0) for i in range(6)], EDGE)
