@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import written
+from ..plans.store import deleted, written
 from . import graph
 
 
@@ -68,12 +68,16 @@ def embedding(edges: DataFrame, found: DataFrame, kept: DataFrame | None = None)
     # The way of a joining edge from its node to the center is that of the edge if the node is its tail.
     tails = edges.select("problem_id", "edge_id", F.col("src").alias("_s"))
     way = F.when(F.col("edge_id").isNotNull(), F.when(F.col("_s") == F.col("node_id"), 1).otherwise(-1))
-    known = written(found.join(tails, ["problem_id", "edge_id"], "left").select("problem_id", "node_id", "cluster", "edge_id", way.alias("way")), "joined-nodes")
+    # Only from nodes that are some edge's tail are links asked for.
+    asked = e.select("problem_id", F.col("src").alias("node_id"), F.lit(True).alias("asked")).distinct()
+    ways = found.join(tails, ["problem_id", "edge_id"], "left").select("problem_id", "node_id", "cluster", "edge_id", way.alias("way"))
+    known = written(ways.join(asked, ["problem_id", "node_id"], "left"), "joined-nodes")
     at = lambda c, n: known.select("problem_id", F.col("node_id").alias(c), *[F.col(x).alias(f"{n}_{y}") for x, y in (("cluster", "cluster"), ("edge_id", "edge"), ("way", "way"))])
-    both = graph.undirected(e).where("src <> dst").join(at("src", "own"), ["problem_id", "src"]).join(at("dst", "other"), ["problem_id", "dst"])
+    asking = known.where("asked").select("problem_id", F.col("node_id").alias("src"), F.col("cluster").alias("own_cluster"))
+    both = graph.undirected(e).where("src <> dst").join(asking, ["problem_id", "src"]).join(at("dst", "other"), ["problem_id", "dst"])
     links = both.where("own_cluster <> other_cluster").groupBy("problem_id", "src", F.col("other_cluster").alias("head_cluster"))
     links = links.agg(F.min(F.struct(F.col("edge_id").alias("link"), F.col("direction").alias("link_way"), F.col("dst").alias("through"), F.col("other_edge").alias("through_edge"), F.col("other_way").alias("through_way"))).alias("l"))
-    links = links.select("problem_id", "src", "head_cluster", "l.*")
+    links = written(links.select("problem_id", "src", "head_cluster", "l.*"), "links")
     t = e.join(at("src", "tail"), ["problem_id", "src"]).join(at("dst", "head"), ["problem_id", "dst"]).join(links, ["problem_id", "src", "head_cluster"], "left")
     t = t.join((cluster_spanner(edges, known) if kept is None else kept).withColumn("kept", F.lit(True)), ["problem_id", "edge_id"], "left")
     step = lambda edge, way: F.struct(F.col(edge).alias("step_edge"), way.cast("int").alias("step_direction"))
@@ -84,4 +88,6 @@ def embedding(edges: DataFrame, found: DataFrame, kept: DataFrame | None = None)
     across = F.when(F.col("through") == F.col("dst"), F.slice(across, 1, 1)).otherwise(across)
     steps = F.when(F.col("kept"), own).when(F.col("tail_cluster") == F.col("head_cluster"), within).otherwise(across)
     steps = F.filter(steps, lambda s: s.step_edge.isNotNull())
-    return t.select("problem_id", "edge_id", F.posexplode(steps).alias("k", "s")).select("problem_id", "edge_id", "k", "s.*")
+    out = written(t.select("problem_id", "edge_id", F.posexplode(steps).alias("k", "s")).select("problem_id", "edge_id", "k", "s.*"), "embedding")
+    deleted(known, links)
+    return out
