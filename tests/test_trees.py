@@ -392,3 +392,12 @@ def test_embedding_over_a_known_spanner(spark):
     given, own = (sorted(map(tuple, spanner.embedding(e, found, *k).collect())) for k in ((kept,), ()))
     assert given == own and {r[1] for r in own} == {r.edge_id for r in e.collect()}
     assert {r[3] for r in own} <= {r.edge_id for r in kept.collect()}
+
+
+def test_the_way_up_takes_few_columns(forest, tour, monkeypatch):
+    """Each join on the way up shuffles all that its rows hold, so these hold sums of both ends, not what is known of each."""
+    seen, write = [], trees.written
+    monkeypatch.setattr(trees, "JOINS_AT_ONCE", 2)
+    monkeypatch.setattr(trees, "written", lambda df, label: (seen.append(df.columns) if label == "rising" else None, write(df, label))[1])
+    trees.path_sums(forest[2], trees.paths(trees.with_values(tour, forest[1])))
+    assert seen and all(len(columns) <= 8 for columns in seen)
